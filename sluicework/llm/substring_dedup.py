@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, stored, table, text_key
+from .shared import stored, table, text_key
 from .textvec import EXACT, Runs, Texts, U, blocks, sliding_min
 
 WINDOW = 35  # words
