@@ -6,11 +6,16 @@ import importlib
 
 #: query name: module that has it, with ORACLE where SQL can express it.
 MODULES = {
+    "op1_url_filter": "url_filter",
     "op2_packing": "packing",
     "op3_decontamination": "decontamination",
+    "op4_toxicity": "toxicity",
     "op5_substring_dedup": "substring_dedup",
     "op6_quality_rules": "quality_rules",
     "op7_ngram_join": "ngram_join",
+    "op8_prefix_tokens": "prefix_tokens",
+    "op9_language_id": "language_id",
+    "op10_sharding": "sharding",
 }
 
 
