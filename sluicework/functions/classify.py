@@ -1,0 +1,156 @@
+"""Classification of files by name and first bytes, and predicates on paths and versions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: First bytes in hex and their format, in order of precedence.
+MAGIC = [
+    ("1F8B", "compressed"),
+    ("425A68", "compressed"),
+    ("FD377A585A00", "compressed"),
+    ("43424D31", "catboost"),
+    ("524B4E4E", "rknn"),
+    ("54370000", "torch7"),
+    ("47475546", "gguf"),
+    ("504B", "zip"),
+    ("08011200", "onnx"),
+    ("894844460D0A1A0A", "hdf5"),
+    ("934E554D5059", "numpy"),
+    ("8002", "pickle"),
+    ("8003", "pickle"),
+    ("8004", "pickle"),
+    ("8005", "pickle"),
+    ("7B", "safetensors"),
+]
+#: Extensions and their format; compound ones come first.
+EXTENSIONS = [
+    (".tar.gz", "tar"),
+    (".tar.bz2", "tar"),
+    (".pt", "pickle"),
+    (".pth", "pickle"),
+    (".ckpt", "pickle"),
+    (".pkl", "pickle"),
+    (".h5", "hdf5"),
+    (".keras", "keras"),
+    (".pb", "protobuf"),
+    (".safetensors", "safetensors"),
+    (".onnx", "onnx"),
+    (".bin", "pytorch_binary"),
+    (".gz", "compressed"),
+    (".zip", "zip"),
+    (".gguf", "gguf"),
+    (".npy", "numpy"),
+    (".joblib", "pickle"),
+    (".cbm", "catboost"),
+    (".rds", "r_serialized"),
+]
+#: Names that a directory scan leaves out, hidden model files that it doesn't, and files that the metadata scanner takes.
+SKIP_EXTENSIONS = [".txt", ".rst", ".pdf", ".py", ".js", ".java", ".html", ".css", ".ini", ".toml", ".lock", ".log", ".so", ".dll", ".tar", ".gz", ".7z", ".jpg", ".png", ".mp4", ".tmp", ".bak"]
+SKIP_NAMES = ["README", "CHANGELOG", "AUTHORS", "CONTRIBUTORS", "Makefile", "requirements.txt", "setup.py", "setup.cfg", "package.json", "package-lock.json", "yarn.lock"]
+HIDDEN_MODELS = [".pkl", ".pt", ".pth", ".h5", ".ckpt", ".npz", ".dvc", ".safetensors"]
+METADATA_EXTENSIONS = [".md", ".yml", ".yaml"]
+METADATA_NAMES = ["readme", "model_card", "model-index"]
+SYSTEM_PATHS = ["/etc", "/bin", "/usr", "/var", "/lib", "/boot", "/sys", "/proc", "/dev", "/root"]
+BYTES_OF = {"F64": 8, "F32": 4, "F16": 2, "BF16": 2, "I64": 8, "I32": 4, "I16": 2, "I8": 1, "U8": 1, "BOOL": 1}
+
+
+def _chain(cases: list[tuple[Column, str]], default: str) -> Column:
+    out = None
+    for test, value in cases:
+        out = (F if out is None else out).when(test, F.lit(value))
+    return out.otherwise(default)
+
+
+def _once(value: Column, function) -> Column:
+    """function(value) with the value worked out once; else each use in a long chain becomes code of its own."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def format_from_magic(content: Column) -> Column:
+    """The format that the first 16 bytes tell."""
+
+    def of(head: Column) -> Column:
+        cases = [(F.startswith(head, F.lit(m)), f) for m, f in MAGIC]
+        cases += [(F.contains(head, F.lit("6F6E6E78")), "onnx"), (F.contains(head, F.lit("225F5F6D657461646174615F5F22")), "safetensors")]
+        return _chain(cases, "unknown")
+
+    return _once(F.hex(F.substring(content, 1, 16)), of)
+
+
+def file_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def extension(path: Column) -> Column:
+    """The last suffix with its dot, in lower case; empty for a name that only begins with a dot."""
+    return F.lower(F.regexp_extract(file_name(path), r"[^.].*?(\.[^.]*)$", 1))
+
+
+def format_from_extension(path: Column) -> Column:
+    return _once(F.lower(path), lambda low: _chain([(F.endswith(low, F.lit(e)), f) for e, f in EXTENSIONS], "unknown"))
+
+
+def agrees(by_name: Column, by_magic: Column) -> Column:
+    """Whether a file's name and content may go together."""
+    pairs = ["pickle zip", "keras zip", "keras hdf5", "pytorch_binary pickle", "pytorch_binary zip", "tar compressed", "protobuf onnx"]
+    return _once(
+        F.struct(by_name.alias("a"), by_magic.alias("b")),
+        lambda p: (p["a"] == p["b"]) | (p["a"] == "unknown") | (p["b"] == "unknown") | F.concat(p["a"], F.lit(" "), p["b"]).isin(*pairs),
+    )
+
+
+def skipped(path: Column, metadata_scanner: bool = True) -> Column:
+    """Whether a directory scan leaves the file out."""
+    name, ext = file_name(path), extension(path)
+    low = F.lower(name)
+    meta = ext.isin(*METADATA_EXTENSIONS) | low.isin(*METADATA_NAMES) | ((ext == ".txt") & F.startswith(low, F.lit("readme.")))
+    hidden = F.startswith(name, F.lit(".")) & ~ext.isin(*HIDDEN_MODELS)
+    skip = ext.isin(*SKIP_EXTENSIONS) | hidden | name.isin(*SKIP_NAMES)
+    return F.when(F.lit(metadata_scanner) & meta, False).otherwise(skip)
+
+
+def safe_member(entry: Column) -> Column:
+    """Whether an archive member stays inside: not absolute, no drive, and ".." never climbs above the start."""
+    parts = F.filter(F.split(F.regexp_replace(entry, r"\\", "/"), "/"), lambda p: ~p.isin("", "."))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+
+    def step(a, p):
+        depth = a["depth"] + F.when(p == "..", -1).otherwise(1)
+        return F.struct(depth.alias("depth"), F.least(a["least"], depth).alias("least"))
+
+    fold = F.aggregate(parts, start, step)["least"]
+    return ~entry.rlike(r"^([/\\]|[A-Za-z]:)") & (fold >= 0)
+
+
+def system_path(path: Column) -> Column:
+    out = F.lit(False)
+    for p in SYSTEM_PATHS:
+        out = out | (path == p) | F.startswith(path, F.lit(p + "/"))
+    return out
+
+
+def vulnerable(version: Column, major: int, minor: int, patch: int) -> Column:
+    """Whether a version is before the fix. What can't be read is, and so is a pre-release of the fix."""
+    part = lambda i: F.regexp_extract(version, r"^v?(\d+)\.(\d+)(?:\.(\d+))?", i)
+    own = F.struct(part(1).try_cast("int").alias("a"), part(2).try_cast("int").alias("b"), F.coalesce(part(3).try_cast("int"), F.lit(0)).alias("c"))
+    fix = F.struct(F.lit(major).alias("a"), F.lit(minor).alias("b"), F.lit(patch).alias("c"))
+    early = version.rlike(r"^v?\d+\.\d+(?:\.\d+)?[-.]?(?:a|b|rc|dev)")
+    return F.when(F.coalesce(part(1), F.lit("")) == "", True).otherwise((own < fix) | ((own == fix) & early))
+
+
+def size_in_bytes(text: Column) -> Column:
+    """"10GB" as bytes, by powers of 1024; null if it can't be read."""
+    number = F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*([KMGT]?)B?\s*$", 1)
+    unit = F.regexp_extract(F.upper(text), r"([KMGT]?)B?\s*$", 1)
+    power = F.when(unit == "K", 1).when(unit == "M", 2).when(unit == "G", 3).when(unit == "T", 4).otherwise(0)
+    return F.when(number != "", (number.try_cast("double") * F.pow(F.lit(1024.0), power)).cast("long"))
+
+
+def tensor_bytes(shape: Column, dtype: Column) -> Column:
+    """Bytes of a tensor; null for an unknown type or a product beyond 64 bits."""
+    width = None
+    for k, v in BYTES_OF.items():
+        width = (F if width is None else width).when(dtype == k, F.lit(v).cast("long"))
+    return F.try_multiply(F.aggregate(shape, F.lit(1).cast("long"), lambda a, x: F.try_multiply(a, x)), width)
