@@ -6,12 +6,12 @@ line are counted. A line above the limit is boilerplate and is removed; a
 document of which too little is left is depleted and rejected.
 
 Copies must not make each other's lines look like boilerplate, so "distinct"
-means distinct families: documents with the same least 5-word shingle count
-as one. Equal texts always share it, near copies mostly do, and unrelated
-documents don't.
+means distinct families: for a line, the documents count as one whose least
+5-word shingle outside that line is the same. Equal texts always share it, near
+copies mostly do, and unrelated documents that share just the line don't.
 
 At scale: one narrow Arrow pass turns each text into a light row (statistics
-and 12 bytes a line). Only light rows are shuffled. Distinct counting is two
+and 20 bytes a line). Only light rows are shuffled. Distinct counting is two
 aggregations with map-side partial results, so a line that a third of all rows
 hold arrives once a task. Lines are matched with the frequent ones by a plain
 equi-join, which AQE splits where a line is hot.
@@ -44,7 +44,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-LIGHT = f"{STATS}, family long, lines array<long>, line_words array<int>"
+LIGHT = f"{STATS}, family long, lines array<long>, line_words array<int>, families array<long>"
 
 
 def _repeated(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +81,8 @@ def statistics(column: pa.Array) -> list[pa.Array]:
         shingle = folded.hash(w, w + 5) >> U(1)
         begin = np.flatnonzero(np.append(True, t.doc[w][1:] != t.doc[w][:-1]))
         family[t.doc[w][begin]] = np.minimum.reduceat(shingle, begin).astype(np.int64)
+    else:
+        shingle = np.zeros(0, U)
     short = np.flatnonzero((t.count > 0) & (t.count < 5))
     family[short] = (folded.hash(t.first[short], t.first[short + 1]) >> U(1)).astype(np.int64)
     repeat_words = _sums(t.doc, n, np.cumsum(covered[:-1]) > 0)
@@ -98,6 +100,7 @@ def statistics(column: pa.Array) -> list[pa.Array]:
     _, again = _repeated(raw ^ by_doc[line_doc])
     normal = folded.hash(a, b)
     line_at = np.searchsorted(line_doc, np.arange(n + 1)).astype(np.int32)
+    families = _families(t, w, shingle, a, line_doc, normal)
     utf8 = t.inside & ((t.bytes & 0xC0) != 0x80)
     return [
         pa.array(t.count.astype(np.int64)),
@@ -108,9 +111,29 @@ def statistics(column: pa.Array) -> list[pa.Array]:
         pa.array(family),
         pa.ListArray.from_arrays(pa.array(line_at), pa.array(normal.astype(np.int64))),
         pa.ListArray.from_arrays(pa.array(line_at), pa.array((b - a).astype(np.int32))),
+        pa.ListArray.from_arrays(pa.array(line_at), pa.array(families)),
     ]
 
 
+def _families(t: Texts, w: np.ndarray, shingle: np.ndarray, first: np.ndarray, line_doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """For each line the least shingle of its document that doesn't lie in a line of this least shingle; the line itself if there is none."""
+    none = np.iinfo(np.int64).max
+    value = shingle.astype(np.int64)
+    of = np.searchsorted(first, w, "right") - 1
+    inside = of == np.searchsorted(first, w + 4, "right") - 1
+    free = np.full(t.n, none)
+    np.minimum.at(free, t.doc[w[~inside]], value[~inside])
+    own = np.full(len(first), none)
+    np.minimum.at(own, of[inside], value[inside])
+    least = np.full(t.n, none)
+    np.minimum.at(least, line_doc, own)
+    next_ = np.full(t.n, none)
+    later = own != least[line_doc]
+    np.minimum.at(next_, line_doc[later], own[later])
+    out = np.minimum(free[line_doc], np.where(later, least[line_doc], next_[line_doc]))
+    return np.where(out == none, line.astype(np.int64), out)
+
+
 def light(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """One light row for each document: the columns ``keep``, then those of LIGHT."""
     fields = docs.select(*keep).schema
@@ -123,7 +146,7 @@ def light(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
     renamed = docs.select(F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), LIGHT])
-    return renamed.mapInArrow(run, schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
+    return renamed.mapInArrow(run, schema).toDF(*keep, *_NAMES)
 
 
 _NAMES = [x.split()[0] for x in LIGHT.split(", ")]
@@ -132,7 +155,7 @@ _NAMES = [x.split()[0] for x in LIGHT.split(", ")]
 def frequent_lines(rows: DataFrame, host: str, limit: int = LINE_LIMIT, share: float = LINE_SHARE) -> DataFrame:
     """host, line: the lines that more than ``limit`` families, and more than ``share`` of the documents, of a host hold."""
     sizes = rows.groupBy(F.col(host).alias("size_host")).agg((F.count("*") * share).alias("least"))
-    lines = rows.select(host, "family", F.explode(F.array_distinct("lines")).alias("line"))
+    lines = rows.select(host, F.explode(F.arrays_zip("lines", "families")).alias("l")).select(host, F.col("l.lines").alias("line"), F.col("l.families").alias("family"))
     distinct = lines.groupBy(host, "family", "line").agg(F.lit(1).alias("one"))
     many = distinct.groupBy(host, "line").agg(F.count("*").alias("families")).where(F.col("families") > limit)
     return many.join(sizes, many[host].eqNullSafe(sizes.size_host) & (many.families > sizes.least)).select(host, "line")
@@ -154,7 +177,7 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "t
     each = each.select(place, at, F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     hits = each.join(gone, each[at].eqNullSafe(gone.gone_host) & (each.line == gone.gone_line))
     hits = hits.groupBy(F.col(place).alias("hit_row")).agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("n_removed_words"))
-    out = rows.join(hits, rows[place] == hits.hit_row, "left").drop("hit_row", place, at, "lines", "line_words", "family")
+    out = rows.join(hits, rows[place] == hits.hit_row, "left").drop("hit_row", place, at, "lines", "line_words", "families", "family")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_removed_lines", "n_removed_words")})
     left = F.col("n_words") - F.col("n_removed_words")
     out = out.withColumns(
@@ -172,12 +195,14 @@ def quality_filter(docs: DataFrame, host: str = "source", text: str = "text") ->
     The verdict depends on text and host alone, so it is found once for each
     key of (text, host) and the documents are joined with the rejected keys.
     """
-    with_key = docs.select("*", *text_key(F.coalesce(F.col(text), F.lit(""))))
-    keyed = docs.select(F.col(text).alias("text"), F.col(host).alias("host"), *text_key(F.coalesce(F.col(text), F.lit(""))))
-    bad = judge(keyed, ["k1", "k2", "host"], "host").where(~F.col("kept")).select("k1", "k2", "host").distinct()
-    bad = bad.select(F.col("k1").alias("bad1"), F.col("k2").alias("bad2"), F.col("host").alias("bad_host"))
-    match = (with_key.k1 == bad.bad1) & (with_key.k2 == bad.bad2) & with_key[host].eqNullSafe(bad.bad_host)
-    return with_key.join(bad, match, "left_anti").select(*docs.columns)
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    own = {c: k for k, c in names.items()}
+    key = text_key(F.coalesce(F.col(own[text]), F.lit("")))
+    rows = docs.toDF(*names).select("*", *key)
+    bad = judge(rows, ["k1", "k2", own[host]], own[host], own[text]).where(~F.col("kept"))
+    bad = bad.select(F.col("k1").alias("bad1"), F.col("k2").alias("bad2"), F.col(own[host]).alias("bad_host")).distinct()
+    match = (rows.k1 == bad.bad1) & (rows.k2 == bad.bad2) & rows[own[host]].eqNullSafe(bad.bad_host)
+    return rows.join(bad, match, "left_anti").select(*names).toDF(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
