@@ -185,28 +185,26 @@ class Grammar:
         return 1 - clean
 
 
-def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """text, label of at most ``sample`` rows of each label, one of each family; stored."""
+def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """text, label of about ``sample`` rows of each label, one of each family; and how many rows each label has."""
     marked = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("label")).where(~held_out(F.col("doc_id")))
-    many = marked.groupBy(F.col("label").alias("of")).agg((F.lit(float(sample) * 2**32) / F.count("*")).alias("below"))
-    few = marked.join(many, F.col("label") == F.col("of")).where(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < F.col("below"))
-    few = stored(few.select(F.col("doc_id").alias("of_id"), "label", "below"))
+    size = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}  # two rows at most
+    below = F.when(F.col("label") == 1, sample * 2**32 / size.get(1, 1)).otherwise(sample * 2**32 / size.get(0, 1))
+    few = marked.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < below)
+    few = stored(few.select(F.col("doc_id").alias("of_id"), "label"))
     rows = docs.join(few, F.col("doc_id") == F.col("of_id")).select("text", "label")
     named = light(rows.withColumn("whole", F.col("text")), ["label", "whole"])
     one = named.groupBy("family", "label").agg(F.min("whole").alias("text"))
-    shares = few.groupBy("label").agg(F.first("below").alias("below"), F.count("*").alias("rows"))
-    return stored(one.select("text", "label")), {r.label: r for r in shares.toLocalIterator()}
+    return stored(one.select("text", "label")), size
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """Learns lexicon and weights from labelled rows that aren't held out. docs: doc_id, text; labels: doc_id, toxic."""
-    rows, shares = _sample(docs, labels, sample)
+    rows, size = _sample(docs, labels, sample)
     total = {r.label: r["count"] for r in rows.groupBy("label").count().toLocalIterator()}
     if set(total) != {0, 1}:
         return Grammar({}, dict(KINDS))
-    # sampled shares differ by label; before is how much more frequent a clean row is than a toxic one
-    size = {label: r.rows * 2**32 / min(r.below, 2**32) for label, r in shares.items()}
-    before = size[0] / size[1]
+    before = size[0] / size[1]  # sampled shares differ by label: how much more frequent a clean row is than a toxic one
     odds = lambda toxic, clean: (toxic / total[1]) / (before * clean / total[0])
 
     def words(batches):
@@ -255,7 +253,7 @@ def score(docs: DataFrame, model: Grammar, keep: list[str], text: str = "text")
 
     renamed = docs.select(F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     schema = ", ".join(f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names)
-    return renamed.mapInArrow(run, f"{schema}, score double").withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    return renamed.mapInArrow(run, f"{schema}, score double").toDF(*keep, "score")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
