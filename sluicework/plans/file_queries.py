@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import classify as K
 from ..operators import groups as G
 from ..operators import sequences as S
-from .data import table
+from ..operators.checks import asset_of
+from ..sources import reports
+from .data import CHECKS, checks, table
 
 QUERIES, SQL = {}, {}
 
@@ -203,3 +205,32 @@ def config_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signal_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.lit(1).alias("any_event"), F.count_distinct(t).alias("n_categories"), (F.bool_or(t == "error") & F.bool_or(t == "purchase")).alias("correlated"))
+
+
+_WEIGHT = "CASE severity WHEN 'critical' THEN 5 WHEN 'warning' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
+_LEVEL = "CASE severity WHEN 'critical' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END"
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks(spark, sf_dir).where("status = 'failed' and severity is not null").withColumn("asset", asset_of(F.col("location")))
+
+
+@_add(f"""WITH {CHECKS}, i AS (SELECT *, coalesce(rule_code, 'unknown') AS rule_id FROM checks WHERE status = 'failed' AND severity IS NOT NULL),
+r AS (SELECT rule_id, (row_number() OVER (ORDER BY min(seq)) - 1)::INT AS rule_index FROM i GROUP BY rule_id)
+SELECT seq, rule_id, rule_index, {_LEVEL} AS level, message, sha256(message || location || severity) AS fingerprint FROM i JOIN r USING (rule_id)""")
+def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.sarif_results(_issues(spark, sf_dir)).drop("uri")
+
+
+@_add(f"""WITH {CHECKS}, i AS (SELECT *, coalesce(rule_code, 'unknown') AS rule_id FROM checks WHERE status = 'failed' AND severity IS NOT NULL)
+SELECT (row_number() OVER (ORDER BY min(seq)) - 1)::INT AS rule_index, rule_id, arg_min(message, seq) AS text FROM i GROUP BY rule_id""")
+def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.sarif_rules(_issues(spark, sf_dir))
+
+
+@_add(f"""WITH {CHECKS}, k AS (SELECT asset, least(sum({_WEIGHT}), 10)::BIGINT AS risk FROM assets WHERE status = 'failed' AND severity IS NOT NULL GROUP BY asset),
+f AS (SELECT '/models/' || doc_id || '.pkl' AS path, n_chars AS size FROM documents)
+SELECT path, size, coalesce(risk, 0)::BIGINT AS risk, '{{"size":' || size || ',"risk":' || coalesce(risk, 0) || '}}' AS properties FROM f LEFT JOIN k ON path = asset""")
+def sbom_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("/models/"), F.col("doc_id").cast("string"), F.lit(".pkl")).alias("path"), F.col("n_chars").alias("size"))
+    return reports.components(files, _issues(spark, sf_dir)).select("path", "size", "risk", "properties")
