@@ -181,12 +181,12 @@ def archive_members(files: DataFrame) -> DataFrame:
 
 def printable_strings(files: DataFrame, least: int = 4, most: int = 512) -> DataFrame:
     """path, idx, string: runs of printable ASCII, in order."""
-    found = F.regexp_extract_all(F.decode("content", F.lit("ISO-8859-1")), F.lit(f"[ -~]{{{least},{most}}}"), F.lit(0))
+    found = F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(f"[ -~]{{{least},{most}}}"), F.lit(0))
     return files.select("path", F.posexplode(found).alias("idx", "string"))
 
 
 def lfs_pointers(files: DataFrame) -> DataFrame:
     """path, oid, size of files that are only Git LFS pointers."""
-    text = F.decode(F.substring("content", 1, 200), F.lit("ISO-8859-1"))
+    text = F.decode(F.substring("content", 1, 200), "ISO-8859-1")
     rows = files.where(F.startswith(text, F.lit("version https://git-lfs")))
     return rows.select("path", F.regexp_extract(text, r"oid sha256:([0-9a-f]{64})", 1).alias("oid"), F.regexp_extract(text, r"size (\d+)", 1).try_cast("long").alias("size"))
