@@ -234,3 +234,19 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(w[s:s + {WORDS} - 1], ' ') AS gram FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {WORDS} + 1, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS k FROM g GROUP BY r),
+i AS (SELECT a.r AS u, b.r AS v, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.r < b.r GROUP BY ALL),
+p AS (SELECT u, v FROM i JOIN n a ON a.r = u JOIN n b ON b.r = v WHERE c >= {SIMILARITY} * (a.k + b.k - c) - 1e-9
+      UNION SELECT a.r, b.r FROM d a JOIN d b ON a.text = b.text AND a.r < b.r),
+l AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+reach(u, v) AS (SELECT r, r FROM d UNION SELECT reach.u, l.v FROM reach JOIN l ON reach.v = l.u),
+k AS (SELECT u AS r, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = v GROUP BY u),
+m AS (SELECT u AS r, count(*) AS n_links FROM l GROUP BY u)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, (CASE WHEN text IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY text) END)::BIGINT AS n_copies
+FROM d JOIN k USING (r) LEFT JOIN m USING (r)
+"""
