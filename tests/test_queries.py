@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from sluicework.plans import check_queries, config_queries, file_queries, statistics_queries, text_queries
+from sluicework.plans import check_queries, config_queries, file_queries, score_queries, statistics_queries, text_queries
 
 SF_DIR = "/root/testdata/sf0.001"
-MODULES = (text_queries, check_queries, statistics_queries, file_queries, config_queries)
+MODULES = (text_queries, check_queries, statistics_queries, file_queries, config_queries, score_queries)
 QUERIES = {n: (f, m.SQL.get(n)) for m in MODULES for n, f in m.QUERIES.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -35,6 +35,9 @@ def test_query(spark, duck, name):
     df = query(spark, SF_DIR)
     columns = sorted(df.columns)
     rows = sorted([plain(r[c]) for c in columns] for r in df.collect())
+    if sql is None:
+        assert rows
+        return
     expected = duck.sql(sql)
     assert sorted(expected.columns) == columns
     at = [expected.columns.index(c) for c in columns]
