@@ -35,6 +35,7 @@ from .shared import table
 from .textvec import blocks
 
 SAMPLE = 400
+MAX_LANGUAGES = 1000
 DICTIONARY = 112 << 10
 FRAME = 2 << 10
 LEVEL = 5
@@ -60,7 +61,10 @@ def training_text(docs: DataFrame, lang: str = "lang", text: str = "text", sampl
     rows = docs.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("order"), F.substring(F.col(text), 1, share).alias("text"))
     rows = rows.where("lang is not null and lang <> 'und' and length(text) > 0")
     # a share of the hashes that leaves about four samples a language, so that little is sorted however large the table is
-    many = rows.groupBy(F.col("lang").alias("of")).agg((F.lit(4.0 * sample * 2**32) / F.count("*")).alias("below"))
+    many = rows.groupBy(F.col("lang").alias("of")).agg((F.lit(4.0 * sample * 2**32) / F.count("*")).alias("below")).limit(MAX_LANGUAGES + 1).collect()
+    if len(many) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    many = F.broadcast(docs.sparkSession.createDataFrame(many, "of string, below double"))  # its size is checked above
     few = rows.join(many, F.col("lang") == F.col("of")).where(F.shiftrightunsigned("order", 32) < F.col("below"))
     few = few.groupBy("lang", "order").agg(F.min("text").alias("text"))
     best = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("n") <= sample)
@@ -107,7 +111,7 @@ def identify(docs: DataFrame, texts: dict[str, bytes], keep: list[str], text: st
 
     renamed = docs.select(F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     schema = ", ".join(f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names)
-    return renamed.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean").withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    return renamed.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean").toDF(*keep, "lang_pred", "score", "rejected")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
