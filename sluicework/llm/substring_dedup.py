@@ -118,6 +118,7 @@ def repeats(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     """r1, r2, ranges: for each key of a text with repeats, what ``_ranges`` reads. ``keyed`` has text, k1, k2 and other columns."""
     found = seeds(keyed, window, gram)
     often = found.groupBy(F.col("anchor").alias("often")).agg(F.count("*").alias("n")).where("n > 1").select("often")
+    often = stored(often)  # with an exchange on both sides AQE can split the join where an anchor is hot
     found = stored(found.join(often, F.col("anchor") == F.col("often"), "left_semi"))
     classes = found.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), *(F.min_by(c, F.struct("k1", "k2", "at")).alias(c) for c in ("k1", "k2", "at")))
     classes = stored(classes)
@@ -183,7 +184,7 @@ def dedup_report(docs: DataFrame, keep: list[str], text: str = "text", window: i
             yield pa.RecordBatch.from_arrays([*(block.column(block.schema.get_field_index(k)) for k in own), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], names=[*own, "n_words", "n_removed", "kept_sha256"])
 
     schema = ", ".join(f"{k} {joined.schema[k].dataType.simpleString()}" for k in own)
-    return joined.mapInArrow(run, f"{schema}, n_words long, n_removed long, kept_sha256 string").withColumnsRenamed(dict(zip(own, keep, strict=True)))
+    return joined.mapInArrow(run, f"{schema}, n_words long, n_removed long, kept_sha256 string").toDF(*keep, "n_words", "n_removed", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: str | None = "n_chars", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -204,7 +205,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: str | None = "n_
 
     back = joined.select(*names, "ranges")
     schema = ", ".join(f"{k} {joined.schema[k].dataType.simpleString()}" for k in names)
-    out = back.mapInArrow(run, schema).withColumnsRenamed(names)
+    out = back.mapInArrow(run, schema).toDF(*names.values())
     if length in docs.columns:
         out = out.withColumn(length, F.when(F.col(text).isNotNull(), F.length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType))
     return out
@@ -212,3 +213,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: str | None = "n_
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+_LAST = WINDOW - 1
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, s, array_to_string(w[s:s + {_LAST}], ' ') AS p FROM (SELECT r, w, unnest(range(1, len(w) - {_LAST} + 1)) AS s FROM d WHERE len(w) >= {WINDOW})),
+c AS (SELECT p FROM x GROUP BY p HAVING count(*) > 1),
+h AS (SELECT DISTINCT r, unnest(range(s, s + {WINDOW})) AS k FROM x JOIN c USING (p)),
+e AS (SELECT r, k, w[k] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+o AS (SELECT e.r, string_agg(word, ' ' ORDER BY e.k) AS t, count(*) AS n FROM e LEFT JOIN h ON e.r = h.r AND e.k = h.k WHERE h.r IS NULL GROUP BY e.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN o USING (r)
+"""
