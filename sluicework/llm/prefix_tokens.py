@@ -28,6 +28,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,8 @@ TOKEN_LIMIT = 512
 BLOCK_BYTES = 1 << 20
 _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 _CROSSING = re.compile(r"\s ")
-_PAIRS = 400_000
+_PAIRS = 800_000
+_STRINGS = 400_000
 
 
 def _space(sign: str) -> bool:
@@ -70,8 +72,8 @@ class PrefixCounter:
         self.letters = {i: t.decode("latin-1").translate(_LETTER) for t, i in self.vocabulary.items()}
         self.longest = max(map(len, self.vocabulary))
         self.pairs: dict[int, bool] = {}
-        self.pieces, self.strings = Generations(), Generations()
-        self.state: tuple[bytes, list[int], list[int]] = (b"", [-1], [0])
+        self.pieces, self.strings = Generations(_STRINGS), Generations(_STRINGS)
+        self.state: tuple[bytes, list[int], list[int], list[int]] = (b"", [-1], [0], [0])
 
     def _valid(self, left: int, right: int) -> bool:
         """Whether the merges leave these two tokens, or with left -1 the right one alone, as they are."""
@@ -91,13 +93,15 @@ class PrefixCounter:
         """
         data = piece.encode()
         vocabulary, pairs, longest = self.vocabulary, self.pairs, self.longest
-        before, last, count = self.state
+        before, last, count, begin = self.state
         shared, most = 0, min(len(before), len(data))
         while shared < most and before[shared] == data[shared]:
             shared += 1
-        del last[shared + 1 :], count[shared + 1 :]
+        del last[shared + 1 :], count[shared + 1 :], begin[shared + 1 :]
         for end in range(shared + 1, len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            # one token alone is right, so the likely places are looked at first: the last token one byte longer, then the shortest
+            likely = begin[end - 1]
+            for start in chain((likely,), range(end - 1, likely, -1), range(likely - 1, max(0, end - longest) - 1, -1)):
                 token = vocabulary.get(data[start:end])
                 if token is None:
                     continue
@@ -106,19 +110,27 @@ class PrefixCounter:
                 if valid if valid is not None else self._valid(left, token):
                     last.append(token)
                     count.append(count[start] + 1)
+                    begin.append(start)
                     break
-        self.state = data, last, count
+        self.state = data, last, count, begin
         if len(data) == len(piece):
             return array("i", count[1:]).tobytes()
         ends = [i for i in range(1, len(data)) if data[i] & 0xC0 != 0x80]
         return array("i", [count[i] for i in (*ends, len(data))]).tobytes()
 
     def learn(self, texts: list[str]) -> None:
-        """Works out the pieces of ordinary texts that are new, in sorted order, in which neighbours share most."""
-        known, strings = self.pieces, self.strings
-        new = {x for t in texts if not _ODD.search(t) for x in t.split(" ") if x not in strings.new and x not in strings.old}
-        pieces = {p for x in new for p in _PIECE.findall(" " + x)}
-        known.all(sorted(p for p in pieces if p not in known.new), self._piece)
+        """Works out what is new in ordinary texts, its pieces in sorted order, in which neighbours share most."""
+        strings, pieces = self.strings, self.pieces
+        new: set[str] = set()
+        for t in texts:
+            if not _ODD.search(t):
+                new.update(t.split(" "))
+        new.difference_update(strings.new)
+        split = {x: _PIECE.findall(" " + x) for x in new if x not in strings.old}
+        unknown = {p for ps in split.values() for p in ps}
+        unknown.difference_update(pieces.new)
+        pieces.all(sorted(unknown), self._piece)
+        strings.put({x: self._string_of(x, ps) for x, ps in split.items()})
 
     def _split(self, text: str) -> list[str]:
         if not _ODD.search(text):
@@ -160,7 +172,9 @@ class PrefixCounter:
         return self._joined([self._general(first).tobytes(), *values] if first else values)
 
     def _string(self, string: str) -> bytes:
-        pieces = _PIECE.findall(" " + string)
+        return self._string_of(string, _PIECE.findall(" " + string))
+
+    def _string_of(self, string: str, pieces: list[str]) -> bytes:
         if len(pieces) > 2 or any(len(p) == 3 and p[0] == "'" for p in pieces) or _space(pieces[-1][0]) and len(pieces) > 1:
             return self._general(" " + string).tobytes()
         values = self.pieces.all(pieces, self._piece)
@@ -207,7 +221,7 @@ def prefix_counts(docs: DataFrame, path: str, keep: list[str], text: str = "text
     names = [f"c{i}" for i in range(len(keep))]
     renamed = docs.select(F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     schema = ", ".join(f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names)
-    return renamed.mapInArrow(run, f"{schema}, prefix_counts array<int>").withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    return renamed.mapInArrow(run, f"{schema}, prefix_counts array<int>").toDF(*keep, "prefix_counts")
 
 
 def tokens_of(counts: Column, characters: Column | int | None = None) -> Column:

@@ -94,6 +94,11 @@ class Generations:
     def __init__(self, size: int = MEMORY_WORDS):
         self.size, self.new, self.old = size, {}, {}
 
+    def put(self, known: dict) -> None:
+        if len(self.new) + len(known) > self.size:
+            self.old, self.new = self.new, {}
+        self.new.update(known)
+
     def all(self, keys: list[str], work) -> list:
         out = list(map(self.new.get, keys))
         if None not in out:
