@@ -6,10 +6,12 @@ the smallest result is chosen. The margin, by how much the next language needs
 more, tells how sure that is; a text with a narrow margin is flagged as
 rejected, and its score is low.
 
-Training text is a bounded sample, ``SAMPLE`` documents a language, those of
-the least hash of their text, so it is the same whatever the partitioning, and
+Training text is a bounded sample, the ``SAMPLE`` distinct texts of a language
+with the least hash, or all if there are fewer, however many copies they have,
+so it is the same whatever the partitioning, and
 ``DICTIONARY`` bytes of them at most become the dictionary. Every other row is
-only scored, in one narrow Arrow pass; nothing is shuffled but the sample.
+only scored, in one narrow Arrow pass; nothing is shuffled but the sample and
+the distinct hashes of training texts.
 
 Text is compressed in lower case with everything between letters as one space.
 A long text is compressed in frames of ``FRAME`` bytes, each with the
@@ -60,17 +62,18 @@ def training_text(docs: DataFrame, lang: str = "lang", text: str = "text", sampl
     share = max(256, 4 * size // sample)  # characters of one document, so that none fills the dictionary
     rows = docs.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("order"), F.substring(F.col(text), 1, share).alias("text"))
     rows = rows.where("lang is not null and lang <> 'und' and length(text) > 0")
-    # a share of the hashes that leaves about four samples a language, so that little is sorted however large the table is
-    many = rows.groupBy(F.col("lang").alias("of")).agg((F.lit(4.0 * sample * 2**32) / F.count("*")).alias("below")).limit(MAX_LANGUAGES + 1).collect()
+    many = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(many) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    many = F.broadcast(docs.sparkSession.createDataFrame(many, "of string, below double"))  # its size is checked above
-    few = rows.join(many, F.col("lang") == F.col("of")).where(F.shiftrightunsigned("order", 32) < F.col("below"))
-    few = few.groupBy("lang", "order").agg(F.min("text").alias("text"))
-    best = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("n") <= sample)
-    found: dict[tuple[float, str], list[tuple[int, str]]] = {}
-    for r in best.join(many, F.col("lang") == F.col("of")).select("below", "lang", "order", "text").toLocalIterator():
-        found.setdefault((r.below, r.lang), []).append((r.order, r.text))
+    # the least distinct hashes, at most ``sample`` a language and task before the shuffle; then their texts, with no text sorted but these
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    best = rows.groupBy("lang", "order").agg(F.lit(1).alias("one")).withColumn("n", place).where(F.col("n") <= sample)
+    best = F.broadcast(best.select(F.col("lang").alias("of"), F.col("order").alias("least")))  # sample * MAX_LANGUAGES rows at most
+    few = rows.join(best, (F.col("lang") == F.col("of")) & (F.col("order") == F.col("least"))).groupBy("lang", "order").agg(F.min("text").alias("text"))
+    size_of = {r.lang: r.n for r in many}
+    found: dict[tuple[int, str], list[tuple[int, str]]] = {}
+    for r in few.toLocalIterator():
+        found.setdefault((-size_of[r.lang], r.lang), []).append((r.order, r.text))
     return {lang: letters(" ".join(t for _, t in sorted(texts))).encode()[:size] for (_, lang), texts in sorted(found.items())}
 
 

@@ -244,6 +244,15 @@ def test_language_id(spark, nothing):
     assert language_id.identify(nothing, {}, ["doc_id"]).count() == 0 and language_id.training_text(nothing) == {}
 
 
+def test_language_sample_is_whole_among_copies(spark):
+    text = lambda i: "abcdefgh"[i % 8] * (2 + i // 8)
+    rows = [(text(0), "en")] * 30000 + [(text(i), "en") for i in range(64)] + [(text(i), "de") for i in range(5)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    learned = language_id.training_text(docs, sample=20)
+    assert list(learned) == ["en", "de"]
+    assert len(learned["en"].split()) == len(set(learned["en"].split())) == 20 and sorted(learned["de"].decode().split()) == sorted(text(i) for i in range(5))
+
+
 def test_toxicity_grammar():
     g = toxicity.Grammar({"idiot": 0.95, "scum": 0.95}, dict(toxicity.KINDS))
     kinds = lambda t: [k for k, _ in g.kinds(t)]
