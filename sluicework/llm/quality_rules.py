@@ -6,14 +6,17 @@ line are counted. A line above the limit is boilerplate and is removed; a
 document of which too little is left is depleted and rejected.
 
 Copies must not make each other's lines look like boilerplate, so "distinct"
-means distinct families: for a line, the documents count as one whose least
-5-word shingle outside that line is the same. Equal texts always share it, near
-copies mostly do, and unrelated documents that share just the line don't.
+means distinct classes of near copies, as ``ngram_join`` finds them: texts of
+5-word shingle Jaccard 0.8 or more, connected. Equal texts are one class. Pages
+that share lines but are less alike than that count one by one.
 
 At scale: one narrow Arrow pass turns each text into a light row (statistics
-and 20 bytes a line). Only light rows are shuffled. Distinct counting is two
+and 12 bytes a line). Lines are counted by distinct texts first, which can only
+be more than their classes; only texts that hold a line above the limit are
+classed, and only these are shuffled beside light rows. Counting is two
 aggregations with map-side partial results, so a line that a third of all rows
-hold arrives once a task. Lines are matched with the frequent ones by a plain
+hold arrives once a text and task. Classing costs what ``ngram_join`` costs on
+those texts. Lines are matched with the frequent ones by a plain
 equi-join, which AQE splits where a line is hot.
 
 Defined results. Null text: no words, all counts 0, base_failed. Empty text:
@@ -29,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ngram_join import classes
 from .shared import fresh, stored, table, text_key
 from .textvec import EXACT, FOLDED, Runs, Texts, U, blocks, mix
 
 #: Production parameters.
-LINE_LIMIT = 20  # a line that more families of one host hold is boilerplate, ...
+LINE_LIMIT = 20  # a line that more classes of one host hold is boilerplate, ...
 LINE_SHARE = 0.001  # ... if they are also more than this share of the host's documents
 MIN_KEPT_SHARE = 0.2  # a document that lost lines is depleted if less than this share of its words is left
 MIN_WORDS = 10
@@ -44,7 +48,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-LIGHT = f"{STATS}, family long, lines array<long>, line_words array<int>, families array<long>"
+LIGHT = f"{STATS}, lines array<long>, line_words array<int>"
 
 
 def _repeated(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,19 +76,11 @@ def statistics(column: pa.Array) -> list[pa.Array]:
     # words in 5-word windows that the text has twice
     w = t.windows(5)
     covered = np.zeros(words + 1, np.int64)
-    family = np.full(n, -1, np.int64)
     if len(w):
         window = exact.hash(w, w + 5)
         many, _ = _repeated(window ^ by_doc[t.doc[w]])
         np.add.at(covered, w[many], 1)
         np.add.at(covered, w[many] + 5, -1)
-        shingle = folded.hash(w, w + 5) >> U(1)
-        begin = np.flatnonzero(np.append(True, t.doc[w][1:] != t.doc[w][:-1]))
-        family[t.doc[w][begin]] = np.minimum.reduceat(shingle, begin).astype(np.int64)
-    else:
-        shingle = np.zeros(0, U)
-    short = np.flatnonzero((t.count > 0) & (t.count < 5))
-    family[short] = (folded.hash(t.first[short], t.first[short + 1]) >> U(1)).astype(np.int64)
     repeat_words = _sums(t.doc, n, np.cumsum(covered[:-1]) > 0)
     # lines
     stops = np.flatnonzero(t.bytes == 10)
@@ -100,7 +96,6 @@ def statistics(column: pa.Array) -> list[pa.Array]:
     _, again = _repeated(raw ^ by_doc[line_doc])
     normal = folded.hash(a, b)
     line_at = np.searchsorted(line_doc, np.arange(n + 1)).astype(np.int32)
-    families = _families(t, w, shingle, a, line_doc, normal)
     utf8 = t.inside & ((t.bytes & 0xC0) != 0x80)
     return [
         pa.array(t.count.astype(np.int64)),
@@ -108,32 +103,11 @@ def statistics(column: pa.Array) -> list[pa.Array]:
         pa.array(t.per_doc(_SYMBOL[t.bytes])),
         pa.array(_sums(line_doc, n, again)),
         pa.array(repeat_words),
-        pa.array(family),
         pa.ListArray.from_arrays(pa.array(line_at), pa.array(normal.astype(np.int64))),
         pa.ListArray.from_arrays(pa.array(line_at), pa.array((b - a).astype(np.int32))),
-        pa.ListArray.from_arrays(pa.array(line_at), pa.array(families)),
     ]
 
 
-def _families(t: Texts, w: np.ndarray, shingle: np.ndarray, first: np.ndarray, line_doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """For each line the least shingle of its document that doesn't lie in a line of this least shingle; the line itself if there is none."""
-    none = np.iinfo(np.int64).max
-    value = shingle.astype(np.int64)
-    of = np.searchsorted(first, w, "right") - 1
-    inside = of == np.searchsorted(first, w + 4, "right") - 1
-    free = np.full(t.n, none)
-    np.minimum.at(free, t.doc[w[~inside]], value[~inside])
-    own = np.full(len(first), none)
-    np.minimum.at(own, of[inside], value[inside])
-    least = np.full(t.n, none)
-    np.minimum.at(least, line_doc, own)
-    next_ = np.full(t.n, none)
-    later = own != least[line_doc]
-    np.minimum.at(next_, line_doc[later], own[later])
-    out = np.minimum(free[line_doc], np.where(later, least[line_doc], next_[line_doc]))
-    return np.where(out == none, line.astype(np.int64), out)
-
-
 def light(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """One light row for each document: the columns ``keep``, then those of LIGHT."""
     fields = docs.select(*keep).schema
@@ -152,13 +126,21 @@ def light(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 _NAMES = [x.split()[0] for x in LIGHT.split(", ")]
 
 
-def frequent_lines(rows: DataFrame, host: str, limit: int = LINE_LIMIT, share: float = LINE_SHARE) -> DataFrame:
-    """host, line: the lines that more than ``limit`` families, and more than ``share`` of the documents, of a host hold."""
+def frequent_lines(rows: DataFrame, texts: DataFrame, host: str, key: list[str], limit: int = LINE_LIMIT, share: float = LINE_SHARE) -> DataFrame:
+    """host, line: the lines that more than ``limit`` classes, and more than ``share`` of the documents, of a host hold.
+
+    ``key`` are the columns of rows that hold the key of the text; ``texts`` has text, k1, k2.
+    """
     sizes = rows.groupBy(F.col(host).alias("size_host")).agg((F.count("*") * share).alias("least"))
-    lines = rows.select(host, F.explode(F.arrays_zip("lines", "families")).alias("l")).select(host, F.col("l.lines").alias("line"), F.col("l.families").alias("family"))
-    distinct = lines.groupBy(host, "family", "line").agg(F.lit(1).alias("one"))
-    many = distinct.groupBy(host, "line").agg(F.count("*").alias("families")).where(F.col("families") > limit)
-    return many.join(sizes, many[host].eqNullSafe(sizes.size_host) & (many.families > sizes.least)).select(host, "line")
+    lines = rows.select(F.col(host).alias("host"), *[F.col(c).alias(k) for c, k in zip(key, ("k1", "k2"), strict=True)], F.explode("lines").alias("line")).distinct()
+    many = lines.groupBy(F.col("host").alias("of_host"), F.col("line").alias("of_line")).agg(F.count("*").alias("texts")).where(F.col("texts") > limit)
+    held = stored(lines.join(many, lines.host.eqNullSafe(many.of_host) & (lines.line == many.of_line)).select("host", "line", "k1", "k2"))
+    holders = held.select(F.col("k1").alias("h1"), F.col("k2").alias("h2")).distinct()
+    keyed = stored(texts.join(holders, (texts.k1 == holders.h1) & (texts.k2 == holders.h2), "left_semi").select("text", "k1", "k2", F.col("k1").alias("id")))
+    found = classes(keyed, "id").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "class_root")
+    counted = held.join(found, (held.k1 == found.c1) & (held.k2 == found.c2)).select("host", "line", "class_root").distinct()
+    counted = counted.groupBy("host", "line").agg(F.count("*").alias("classes")).where(F.col("classes") > limit)
+    return counted.join(sizes, counted.host.eqNullSafe(sizes.size_host) & (counted.classes > sizes.least)).select(F.col("host").alias(host), "line")
 
 
 def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", limit: int = LINE_LIMIT) -> DataFrame:
@@ -170,14 +152,18 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "t
     place = fresh("row_number", keep + [host])
     at = fresh("host_name", keep)
     named = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(host).alias(at), F.col(text).alias(fresh("whole_text", keep)))
-    rows = light(named, [*keep, at], fresh("whole_text", keep))
+    whole = fresh("whole_text", keep)
+    key = [fresh("text_key1", keep), fresh("text_key2", keep)]
+    keyed = named.withColumns(dict(zip(key, text_key(F.col(whole)), strict=True)))
+    rows = light(keyed, [*keep, at, *key], whole)
     rows = stored(rows.withColumn(place, F.monotonically_increasing_id()))
-    gone = frequent_lines(rows, at, limit).select(F.col(at).alias("gone_host"), F.col("line").alias("gone_line"))
+    texts = keyed.select(F.col(whole).alias("text"), F.col(key[0]).alias("k1"), F.col(key[1]).alias("k2"))
+    gone = frequent_lines(rows, texts, at, key, limit).select(F.col(at).alias("gone_host"), F.col("line").alias("gone_line"))
     each = rows.select(place, at, F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
     each = each.select(place, at, F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     hits = each.join(gone, each[at].eqNullSafe(gone.gone_host) & (each.line == gone.gone_line))
     hits = hits.groupBy(F.col(place).alias("hit_row")).agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("n_removed_words"))
-    out = rows.join(hits, rows[place] == hits.hit_row, "left").drop("hit_row", place, at, "lines", "line_words", "families", "family")
+    out = rows.join(hits, rows[place] == hits.hit_row, "left").drop("hit_row", place, at, *key, "lines", "line_words")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_removed_lines", "n_removed_words")})
     left = F.col("n_words") - F.col("n_removed_words")
     out = out.withColumns(

@@ -90,6 +90,18 @@ def test_frequent_lines_deplete(spark):
     assert all(found[200 + i].kept and not found[200 + i].n_removed_lines for i in range(60))
 
 
+def test_pages_of_several_shared_lines_deplete(spark):
+    rows = []
+    for host in range(6):  # Jaccard 0.75: different pages
+        shared = "\n".join(" ".join(f"menu{host}x{k}x{j}" for j in range(10)) for k in range(4))
+        rows += [(100 * host + i, shared + "\n" + " ".join(f"own{host}x{i}x{j}" for j in range(6)), f"h{host}") for i in range(100)]
+    article = [" ".join(f"art{k}x{j}" for j in range(12)) for k in range(10)]
+    rows += [(1000 + i, "\n".join([*article[: i % 10], article[i % 10].replace("x5", f"edit{i}"), *article[i % 10 + 1 :]]), None) for i in range(60)]  # near copies
+    found = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"], limit=20).collect()}
+    assert all(found[i].depleted and (found[i].n_removed_lines, found[i].n_removed_words) == (4, 40) for i in range(600))
+    assert all(found[1000 + i].kept and not found[1000 + i].n_removed_lines for i in range(60))
+
+
 def test_substring_dedup(docs, nothing):
     found = substring_dedup.dedup_report(docs, ["doc_id"]).collect()
     counts = collections.Counter(tuple(w[i : i + 35]) for _, t in TEXTS for w in [words(t)] for i in range(len(w) - 34))
