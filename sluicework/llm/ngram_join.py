@@ -3,12 +3,21 @@
 Each distinct text gets a signature of ``bands * rows`` minima over its 5-word
 shingles; band and row counts follow from the similarity and the recall asked
 for. The shuffle is on band hashes: texts of one bucket become candidates by an
-edge to the bucket's least node, never by all pairs. Connected candidates are
-then verified on their full shingle sets, in blocks of at most ``BLOCK``
-texts: two blocks of one component meet in one task of bounded size, which
-counts the links of every text and returns a spanning star for each linked
-set, not the pairs. No block pair of a component is left out, so no link
-between candidates is lost and no cap is set.
+edge to the bucket's least node, never by all pairs.
+
+Candidates are verified on their full shingle sets in tasks of bounded size.
+Connected candidates of at most ``BLOCK`` texts are one task. A larger connected
+set is verified bucket by bucket, so that a chain of weak candidates costs what
+its buckets cost and not the square of the chain; or in whole, if that ships
+less text. A bucket (or set) of more than ``BLOCK`` texts is dealt into blocks,
+of which each two meet in one task. A pair that shares several buckets counts in
+the first of them alone. Each task counts the links of every text and returns a
+spanning star for each linked set, not the pairs. No link between candidates is
+lost and no cap is set. A group of m texts that are truly alike ships each text
+m / BLOCK times, since its links, of which there are m * m, are counted exactly.
+
+Only texts of candidates are shuffled for that: the others are left out first,
+by a broadcast of the candidates' keys while these are counted to be few.
 
 Equal texts are one node with a number of copies, so a group of copies costs
 one row after a map-side aggregation.
@@ -33,14 +42,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import stored, table, text_key
+from .shared import semi_join, spread_join, stored, table, text_key
 from .textvec import EXACT, Runs, Texts, U, blocks, mix
 
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 ROWS = 5
-BLOCK = 128
+BLOCK = 256
 BLOCK_BYTES = 1 << 20
 _COLUMNS = 8192
 
@@ -101,8 +110,22 @@ def _intersections(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def verify(texts: pa.Array, node: np.ndarray, copies: np.ndarray, side: np.ndarray, words: int, similarity: float):
-    """Links of one block, or between two: for each node the linked documents, and the least node that its links here reach."""
+def _first_shared(bands: np.ndarray, bucket: int) -> np.ndarray:
+    """For each two texts whether ``bucket`` is the first that they share."""
+    n = len(bands)
+    open_, first = np.ones((n, n), bool), np.zeros((n, n), np.int64)
+    for band in bands.T:
+        same = open_ & (band[:, None] == band[None, :])
+        first[same] = np.broadcast_to(band[:, None], (n, n))[same]
+        open_ &= ~same
+    return ~open_ & (first == bucket)
+
+
+def verify(texts: pa.Array, node: np.ndarray, copies: np.ndarray, side: np.ndarray, bands: np.ndarray | None, bucket: int, words: int, similarity: float):
+    """Links of one block, or between two: for each node the linked documents, and the least node that its links here reach.
+
+    With ``bands`` (the buckets of each text) only pairs whose first shared bucket is ``bucket`` count.
+    """
     t = Texts(texts)
     doc, value = shingles(t, words)
     order = np.lexsort((value, doc))
@@ -114,6 +137,8 @@ def verify(texts: pa.Array, node: np.ndarray, copies: np.ndarray, side: np.ndarr
     link = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
     link &= (side[:, None] != side[None, :]) if (side != side[0]).any() else ~np.eye(t.n, dtype=bool)
     link &= both > 0
+    if bands is not None:
+        link &= _first_shared(bands, bucket)
     links = link @ copies
     root = node.copy()
     while True:
@@ -137,24 +162,46 @@ def nodes(keyed: DataFrame, doc_id: str, words: int, bands: int, rows: int) -> D
     return stored(one.withColumn("node", F.monotonically_increasing_id()))
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """node, root: texts that share buckets with others, connected."""
+def _buckets(found: DataFrame) -> DataFrame:
+    """bucket, v, n: the buckets of two texts or more, with their least node and their size."""
     each = found.select("node", F.explode("bands").alias("bucket"))
-    least = each.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("bucket", "v")
-    return components(each.join(least, "bucket").select(F.col("node").alias("u"), "v"))
+    return stored(each.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1"))
+
+
+def _tasks(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """node, task, by_bucket, n: the tasks in which a text is verified, and how many texts each holds."""
+    members = spread_join(found.select("node", F.explode("bands").alias("bucket")), shared, "bucket").select("node", "bucket", "v", F.col("n").alias("size"))
+    members = stored(members)
+    near = stored(components(members.select(F.col("node").alias("u"), "v")))
+    sets = stored(near.groupBy("root").agg(F.count("*").alias("n")))
+    whole = lambda n: F.ceil(F.col(n) / BLOCK)
+    large = sets.where(F.col("n") > BLOCK).select(F.col("root").alias("of_root"), F.col("n").alias("n_set"))
+    # texts to ship if a large set is verified by its buckets, from one row a bucket
+    of = near.select(F.col("node").alias("of_node"), "root")
+    cost = shared.join(of, F.col("v") == F.col("of_node")).join(large, F.col("root") == F.col("of_root"))
+    cost = cost.groupBy("of_root", "n_set").agg(F.sum(F.col("n") * whole("n")).alias("cost"))
+    split = stored(cost.where(F.col("cost") < F.col("n_set") * whole("n_set")).select(F.col("of_root").alias("split_root")))
+    by_set = spread_join(near, sets, "root").join(split, F.col("root") == F.col("split_root"), "left_anti")
+    by_set = by_set.select("node", F.col("root").alias("task"), F.lit(False).alias("by_bucket"), "n")
+    chosen = shared.join(of, F.col("v") == F.col("of_node")).join(split, F.col("root") == F.col("split_root"), "left_semi").select(F.col("bucket").alias("task"), "n")
+    by_bucket = spread_join(members.select("node", F.col("bucket").alias("task")), stored(chosen), "task")
+    return stored(by_set.unionByName(by_bucket.select("node", "task", F.lit(True).alias("by_bucket"), "n")))
 
 
 def links(found: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
     """u, v, links: for each text and task, how many documents it links to there and the least node it is linked with."""
-    near = candidates(found)
-    sizes = near.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
-    members = found.join(near, "node").join(sizes, "root").select("node", "root", "copies", "n_blocks", F.col("k1").alias("m1"), F.col("k2").alias("m2"))
-    text = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    members = members.join(text, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")))
+    tasks = _tasks(found, _buckets(found))
+    own = tasks.select("node").distinct()
+    wanted = stored(found.join(own, "node").select("node", "copies", "bands", F.col("k1").alias("m1"), F.col("k2").alias("m2")))
+    match = (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))
+    text = semi_join(keyed.select("text", "k1", "k2"), wanted.select("m1", "m2"), match).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    members = wanted.join(text, match).select("node", "copies", "bands", "text")
+    dealt = tasks.withColumn("n_blocks", F.ceil(F.col("n") / BLOCK))
     side = F.pmod(F.xxhash64("node"), F.col("n_blocks"))
-    spread = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    spread = spread.select("root", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "copies", "side", "text")
-    spread = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    dealt = dealt.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    dealt = dealt.select("node", "task", "by_bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+    spread = dealt.join(members, "node").select("task", "by_bucket", "i", "j", "node", "copies", "side", F.when(F.col("by_bucket"), F.col("bands")).alias("bands"), "text")
+    spread = spread.repartition("task", "by_bucket", "i", "j").sortWithinPartitions("task", "by_bucket", "i", "j")
 
     def run(batches):
         rest = None
@@ -171,7 +218,7 @@ def links(found: DataFrame, keyed: DataFrame, words: int, similarity: float) ->
 
 
 def _groups(rows: pa.Table) -> list[pa.Table]:
-    key = [np.asarray(rows.column(i)) for i in range(3)]
+    key = [np.asarray(rows.column(i)) for i in range(4)]
     change = np.zeros(rows.num_rows - 1, bool)
     for k in key:
         change |= k[1:] != k[:-1]
@@ -180,8 +227,9 @@ def _groups(rows: pa.Table) -> list[pa.Table]:
 
 
 def _verified(rows: pa.Table, words: int, similarity: float) -> pa.RecordBatch:
-    node, copies, side = (np.asarray(rows.column(i)) for i in (3, 4, 5))
-    count, root = verify(rows.column(6).combine_chunks(), node, copies, side, words, similarity)
+    node, copies, side = (np.asarray(rows.column(i)) for i in (4, 5, 6))
+    bands = np.asarray(rows.column(7).combine_chunks().flatten()).reshape(len(node), -1) if rows.column(1)[0].as_py() else None
+    count, root = verify(rows.column(8).combine_chunks(), node, copies, side, bands, rows.column(0)[0].as_py(), words, similarity)
     hit = count > 0
     return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(root[hit]), pa.array(count[hit])], names=["u", "v", "links"])
 

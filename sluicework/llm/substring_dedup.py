@@ -15,7 +15,11 @@ anchors are repeats; neighbouring ones merge into maximal repeats.
 
 So no pairs are made: a group of g copies gives one class row for each anchor,
 after a map-side partial aggregation, and the work is linear in the text.
-Equality is that of two independent 64-bit hashes (anchor and window).
+Equality is that of two 64-bit hashes: of the anchor, and of the stretch or
+window, which has another table of bytes and another base.
+
+An anchor that very many places hold, or that has very many classes, is found
+by its count, and its rows are dealt over tasks (``spread_join``).
 
 Documents are joined by a 128-bit key of the text, never by a row number, so
 that any recomputed task gives the same rows. Copies of one text share all
@@ -25,7 +29,8 @@ splits where a text is hot.
 Defined results. Null text: no words, kept_sha256 of the empty string. Texts
 under the window's length keep all words. Ties and repeated rows: every copy
 loses the words. Empty table: empty result. Extra columns pass through
-``remove_repeats`` whatever their names.
+``remove_repeats`` whatever their names; a column in ``keep`` that is named like
+an output gets underscores before its name. Very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -37,15 +42,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table, text_key
-from .textvec import EXACT, Runs, Texts, U, blocks, sliding_min
+from .shared import kept, spread_join, stored, table, text_key
+from .textvec import EXACT, SECOND, SECOND_STEP, Runs, Texts, U, blocks, sliding_min
 
 WINDOW = 35  # words
 GRAM = 8  # words of an anchor
 BLOCK_BYTES = 1 << 20
 
 
-def anchors(t: Texts, runs: Runs, window: int, gram: int) -> tuple[np.ndarray, ...]:
+def second(t: Texts) -> Runs:
+    """Hashes of the second family."""
+    return Runs(t.word_hashes(SECOND, SECOND_STEP), SECOND_STEP)
+
+
+def anchors(t: Texts, runs: Runs, other: Runs, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """hash, whole-stretch hash, first window's word, number of windows, document: for each anchor of a block.
 
     The order is that of the hashes' upper bits, then that of the places, so
@@ -69,7 +79,7 @@ def anchors(t: Texts, runs: Runs, window: int, gram: int) -> tuple[np.ndarray, .
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(here)))
     a, spot = here[begin], spot[begin]
-    stretch = runs.hash(a, a + count + window - 1) + (spot - a).astype(U) * U(0x9FB21C651E98DF25)
+    stretch = other.hash(a, a + count + window - 1) + (spot - a).astype(U) * U(0x9FB21C651E98DF25)
     return grams[spot], stretch, a, count, t.doc[a]
 
 
@@ -83,7 +93,7 @@ def seeds(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches):
         for block in blocks(batches, BLOCK_BYTES):
             t = Texts(block.column(0))
-            anchor, stretch, a, count, doc = anchors(t, Runs(t.word_hashes(EXACT)), window, gram)
+            anchor, stretch, a, count, doc = anchors(t, Runs(t.word_hashes(EXACT)), second(t), window, gram)
             at = (a - t.first[doc]) * 64 + count
             k1, k2 = (block.column(i).take(pa.array(doc)) for i in (1, 2))
             yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(stretch), k1, k2, _signed(at)], names=["anchor", "stretch", "k1", "k2", "at"])
@@ -117,19 +127,18 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def repeats(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """r1, r2, ranges: for each key of a text with repeats, what ``_ranges`` reads. ``keyed`` has text, k1, k2 and other columns."""
     found = seeds(keyed, window, gram)
-    often = found.groupBy(F.col("anchor").alias("often")).agg(F.count("*").alias("n")).where("n > 1").select("often")
-    often = stored(often)  # with an exchange on both sides AQE can split the join where an anchor is hot
-    found = stored(found.join(often, F.col("anchor") == F.col("often"), "left_semi"))
+    often = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    found = stored(spread_join(found, often, "anchor").drop("n"))
     classes = found.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), *(F.min_by(c, F.struct("k1", "k2", "at")).alias(c) for c in ("k1", "k2", "at")))
     classes = stored(classes)
-    mixed = classes.groupBy(F.col("anchor").alias("mixed")).agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 and least = 1")
-    edges = classes.join(mixed, F.col("anchor") == F.col("mixed"), "left_semi")
-    edges = edges.groupBy(F.col("k1").alias("e1"), F.col("k2").alias("e2")).agg(F.collect_list(F.struct("anchor", "at", "n")).alias("edges"))
+    mixed = classes.groupBy("anchor").agg(F.min("n").alias("least"), F.count("*").alias("n")).where("n > 1 and least = 1")
+    edges = spread_join(classes.withColumnRenamed("n", "places"), stored(mixed), "anchor")
+    edges = edges.groupBy(F.col("k1").alias("e1"), F.col("k2").alias("e2")).agg(F.collect_list(F.struct("anchor", "at", F.col("places").alias("n"))).alias("edges"))
 
     def extend(batches):
         for block in blocks(batches, BLOCK_BYTES):
             t = Texts(block.column(block.schema.get_field_index("text")))
-            runs = Runs(t.word_hashes(EXACT))
+            runs = second(t)
             offsets, _ = _lists(edge := block.column(block.schema.get_field_index("edges")))
             anchor, at, n = (np.asarray(x) for x in edge.flatten().flatten())
             doc = np.repeat(np.arange(t.n), np.diff(offsets))
@@ -172,19 +181,23 @@ def _kept_words(block: pa.RecordBatch, window: int):
         yield len(words), int(gone.sum()), b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])
 
 
+_REPORT = ["n_words", "n_removed", "kept_sha256"]
+
+
 def dedup_report(docs: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The columns ``keep`` of each document with n_words, n_removed and the kept words' SHA-256."""
-    joined, names = _with_ranges(docs.select(*keep, text), text, window, gram)
-    own = [next(k for k, c in names.items() if c == x) for x in keep]
+    own = [f"k_{i}" for i in range(len(keep))]
+    joined, names = _with_ranges(docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, own, strict=True)], F.col(text).alias("text")), "text", window, gram)
+    place = {c: k for k, c in names.items()}
 
     def run(batches):
         for block in blocks(batches, BLOCK_BYTES):
-            rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for n, gone, kept in _kept_words(block, window)]
-            n, gone, digest = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([*(block.column(block.schema.get_field_index(k)) for k in own), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], names=[*own, "n_words", "n_removed", "kept_sha256"])
+            n, gone, digest = zip(*((n, gone, hashlib.sha256(words).hexdigest()) for n, gone, words in _kept_words(block, window)), strict=True)
+            columns = [block.column(block.schema.get_field_index(place[k])) for k in own]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], names=[*own, *_REPORT])
 
-    schema = ", ".join(f"{k} {joined.schema[k].dataType.simpleString()}" for k in own)
-    return joined.mapInArrow(run, f"{schema}, n_words long, n_removed long, kept_sha256 string").toDF(*keep, "n_words", "n_removed", "kept_sha256")
+    schema = ", ".join(f"{k} {joined.schema[place[k]].dataType.simpleString()}" for k in own)
+    return joined.mapInArrow(run, f"{schema}, n_words long, n_removed long, kept_sha256 string").toDF(*kept(keep, _REPORT), *_REPORT)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: str | None = "n_chars", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -198,7 +211,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: str | None = "n_
         for block in blocks(batches, BLOCK_BYTES):
             place = block.schema.get_field_index("text")
             old = block.column(place)
-            new = [kept if gone else None for _, gone, kept in _kept_words(block, window)]
+            new = [words if gone else None for _, gone, words in _kept_words(block, window)]
             column = pa.array([o.as_py() if n is None else n.decode() for o, n in zip(old, new, strict=True)], old.type)
             columns = [column if i == place else block.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=list(names))

@@ -12,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_BACK = pow(_STEP, -1, 2**64)
+#: Bases of the two hash families; odd, so they have inverses modulo 2**64.
+STEP, SECOND_STEP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -40,14 +40,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _byte_table(fold: bool) -> np.ndarray:
-    table = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+def _byte_table(fold: bool, factor: int = 0xD1342543DE82EF95) -> np.ndarray:
+    table = mix(np.arange(1, 257, dtype=U) * U(factor))
     if fold:
         table[ord("A") : ord("Z") + 1] = table[ord("a") : ord("z") + 1]
     return table
 
 
 EXACT, FOLDED = _byte_table(False), _byte_table(True)
+SECOND = _byte_table(False, 0xA24BAED4963EE407)  # of the second family
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -55,11 +56,11 @@ _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 class Runs:
     """Hashes of any stretches of one sequence of 64-bit numbers."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, step: int = STEP):
         n = len(values)
         self.sums = np.zeros(n + 1, U)
-        np.cumsum(values * powers(_STEP, n), out=self.sums[1:])
-        self.back = powers(_BACK, n + 1)
+        np.cumsum(values * powers(step, n), out=self.sums[1:])
+        self.back = powers(pow(step, -1, 2**64), n + 1)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Equal stretches have equal hashes wherever they stand."""
@@ -118,8 +119,8 @@ class Texts:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n), self.count)
 
-    def word_hashes(self, table: np.ndarray = EXACT) -> np.ndarray:
-        return Runs(table[self.bytes]).hash(self.start, self.end)
+    def word_hashes(self, table: np.ndarray = EXACT, step: int = STEP) -> np.ndarray:
+        return Runs(table[self.bytes], step).hash(self.start, self.end)
 
     def per_doc(self, marks: np.ndarray) -> np.ndarray:
         """How many bytes of each document are marked."""
