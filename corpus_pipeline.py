@@ -4,9 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes
 each stage's rows to the shared folder as Parquet and reads them again as the
 next one's docs, so a lost executor costs no finished stage.
 
-A null text passes the near-duplicate and passage stages unchanged; the quality
-rules reject it, since it has no words. Extra columns of documents pass through
-all stages but the last.
+Each stage's intermediate tables, and the rows of the stage before, are deleted
+as soon as its own rows are written.
+
+Defined results. A null text passes the near-duplicate and passage stages
+unchanged; the quality rules reject it, since it has no words; an empty text
+likewise. Repeated rows are copies of one another: the least doc_id stays, and of
+rows that repeat it one. Very long texts are taken whole. An empty table of
+documents gives no pieces; an empty benchmark rejects nothing. Extra columns of
+documents pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,12 +24,12 @@ from sluicework.llm.decontamination import remove_contaminated
 from sluicework.llm.ngram_join import keep_one
 from sluicework.llm.packing import TOKENIZER, pack
 from sluicework.llm.quality_rules import quality_filter
-from sluicework.llm.shared import stored, table
+from sluicework.llm.shared import discard, scratch, table, write
 from sluicework.llm.substring_dedup import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without boilerplate lines."""
     return quality_filter(docs)
 
 
@@ -60,7 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            path = write(out, lasting=True)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

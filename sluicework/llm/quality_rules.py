@@ -2,43 +2,40 @@
 
 Lines are normalised (A-Z lower-cased, white space as one space) and hashed.
 For each host (a column of the documents) the distinct documents that hold a
-line are counted. A line above the limit is boilerplate and is removed; a
-document of which too little is left is depleted and rejected.
-
-Copies must not make each other's lines look like boilerplate, so "distinct"
-means distinct classes of near copies, as ``ngram_join`` finds them: texts of
-5-word shingle Jaccard 0.8 or more, connected. Equal texts are one class. Pages
-that share lines but are less alike than that count one by one.
+line are counted; documents of equal text are one. A line above the limit is
+boilerplate and is removed from all of them but one, the one of the least text
+key, so that a group of near copies keeps one whole member and no line is lost
+to the corpus. A document of which too little is left is depleted and rejected.
 
 At scale: one narrow Arrow pass turns each text into a light row (statistics
-and 12 bytes a line). Lines are counted by distinct texts first, which can only
-be more than their classes; only texts that hold a line above the limit are
-classed, and only these are shuffled beside light rows. Counting is two
-aggregations with map-side partial results, so a line that a third of all rows
-hold arrives once a text and task. Classing costs what ``ngram_join`` costs on
-those texts. Lines are matched with the frequent ones by a plain
-equi-join, which AQE splits where a line is hot.
+and 12 bytes a line), which is written once. Counting is two aggregations with
+map-side partial results, so a line that a third of all rows hold arrives once
+a text and task. Light lines are joined with the frequent ones by a 64-bit key
+of (host, line), a hot line's rows dealt over tasks. ``quality_filter`` sends
+each text through one equi-join by a 128-bit key, which AQE splits where a text
+is hot.
 
 Defined results. Null text: no words, all counts 0, base_failed. Empty text:
 the same. Null host: a host of its own. A repeated row is judged like the row
-it repeats. An empty table gives an empty result. Extra columns are kept by
-``quality_filter``, whatever their names.
+it repeats; ties in the least key are equal texts, which share a verdict. Very
+long texts are judged whole. An empty table gives an empty result. A column in
+``keep`` that is named like an output gets underscores before its name; extra
+columns pass through ``quality_filter``, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ngram_join import classes
-from .shared import fresh, stored, table, text_key
+from .shared import kept, spread_join, stored, table, text_key
 from .textvec import EXACT, FOLDED, Runs, Texts, U, blocks, mix
 
 #: Production parameters.
-LINE_LIMIT = 20  # a line that more classes of one host hold is boilerplate, ...
-LINE_SHARE = 0.001  # ... if they are also more than this share of the host's documents
+LINE_LIMIT = 20  # a line that more distinct documents of one host hold is boilerplate
 MIN_KEPT_SHARE = 0.2  # a document that lost lines is depleted if less than this share of its words is left
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -108,6 +105,9 @@ def statistics(column: pa.Array) -> list[pa.Array]:
     ]
 
 
+_NAMES = [x.split()[0] for x in LIGHT.split(", ")]
+
+
 def light(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """One light row for each document: the columns ``keep``, then those of LIGHT."""
     fields = docs.select(*keep).schema
@@ -123,24 +123,36 @@ def light(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return renamed.mapInArrow(run, schema).toDF(*keep, *_NAMES)
 
 
-_NAMES = [x.split()[0] for x in LIGHT.split(", ")]
+def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+    """line_key, n, first1, first2: the lines that more than ``limit`` distinct texts hold, and the least key of these. lines: line_key, k1, k2."""
+    found = lines.distinct().groupBy("line_key").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("first"))
+    return found.where(F.col("n") > limit).select("line_key", "n", F.col("first.k1").alias("first1"), F.col("first.k2").alias("first2"))
+
+
+def _judged(docs: DataFrame, limit: int) -> DataFrame:
+    """``docs`` (c0 .. cn, host, text, k1, k2) without the text, with statistics, verdict and gone: the places of removed lines among the lines with a word."""
+    own = [c for c in docs.columns if c != "text"]
+    rows = stored(light(docs, own).withColumn("row_number", F.monotonically_increasing_id()))
+    line = F.struct(F.xxhash64("host", "l.lines").alias("line_key"), F.col("l.line_words").alias("words"))
+    each = rows.select("row_number", "k1", "k2", "host", F.posexplode(F.arrays_zip("lines", "line_words")).alias("place", "l"))
+    each = each.select("row_number", "k1", "k2", "place", line.alias("s")).select("row_number", "k1", "k2", "place", "s.*")
+    often = stored(frequent_lines(each.select("line_key", "k1", "k2"), limit))
+    hits = spread_join(each, often, "line_key").where((F.col("k1") != F.col("first1")) | (F.col("k2") != F.col("first2")))
+    hits = hits.groupBy(F.col("row_number").alias("hit_row")).agg(F.collect_list("place").alias("gone"), F.sum("words").alias("n_removed_words"))
+    out = rows.join(hits, F.col("row_number") == F.col("hit_row"), "left").drop("hit_row", "row_number", "lines", "line_words")
+    out = out.withColumns({"n_removed_words": F.coalesce("n_removed_words", F.lit(0)), "gone": F.coalesce("gone", F.array().cast("array<int>"))})
+    out = out.withColumn("n_removed_lines", F.size("gone").cast("long"))
+    left = F.col("n_words") - F.col("n_removed_words")
+    out = out.withColumns(
+        {
+            "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
+            "depleted": (F.col("n_removed_words") > 0) & (left < MIN_KEPT_SHARE * F.col("n_words")),
+        }
+    )
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
-def frequent_lines(rows: DataFrame, texts: DataFrame, host: str, key: list[str], limit: int = LINE_LIMIT, share: float = LINE_SHARE) -> DataFrame:
-    """host, line: the lines that more than ``limit`` classes, and more than ``share`` of the documents, of a host hold.
-
-    ``key`` are the columns of rows that hold the key of the text; ``texts`` has text, k1, k2.
-    """
-    sizes = rows.groupBy(F.col(host).alias("size_host")).agg((F.count("*") * share).alias("least"))
-    lines = rows.select(F.col(host).alias("host"), *[F.col(c).alias(k) for c, k in zip(key, ("k1", "k2"), strict=True)], F.explode("lines").alias("line")).distinct()
-    many = lines.groupBy(F.col("host").alias("of_host"), F.col("line").alias("of_line")).agg(F.count("*").alias("texts")).where(F.col("texts") > limit)
-    held = stored(lines.join(many, lines.host.eqNullSafe(many.of_host) & (lines.line == many.of_line)).select("host", "line", "k1", "k2"))
-    holders = held.select(F.col("k1").alias("h1"), F.col("k2").alias("h2")).distinct()
-    keyed = stored(texts.join(holders, (texts.k1 == holders.h1) & (texts.k2 == holders.h2), "left_semi").select("text", "k1", "k2", F.col("k1").alias("id")))
-    found = classes(keyed, "id").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "class_root")
-    counted = held.join(found, (held.k1 == found.c1) & (held.k2 == found.c2)).select("host", "line", "class_root").distinct()
-    counted = counted.groupBy("host", "line").agg(F.count("*").alias("classes")).where(F.col("classes") > limit)
-    return counted.join(sizes, counted.host.eqNullSafe(sizes.size_host) & (counted.classes > sizes.least)).select(F.col("host").alias(host), "line")
+_VERDICT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_lines", "n_removed_words", "base_failed", "depleted", "kept"]
 
 
 def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", limit: int = LINE_LIMIT) -> DataFrame:
@@ -149,46 +161,55 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "t
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_removed_lines, n_removed_words, base_failed, depleted, kept.
     """
-    place = fresh("row_number", keep + [host])
-    at = fresh("host_name", keep)
-    named = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(host).alias(at), F.col(text).alias(fresh("whole_text", keep)))
-    whole = fresh("whole_text", keep)
-    key = [fresh("text_key1", keep), fresh("text_key2", keep)]
-    keyed = named.withColumns(dict(zip(key, text_key(F.col(whole)), strict=True)))
-    rows = light(keyed, [*keep, at, *key], whole)
-    rows = stored(rows.withColumn(place, F.monotonically_increasing_id()))
-    texts = keyed.select(F.col(whole).alias("text"), F.col(key[0]).alias("k1"), F.col(key[1]).alias("k2"))
-    gone = frequent_lines(rows, texts, at, key, limit).select(F.col(at).alias("gone_host"), F.col("line").alias("gone_line"))
-    each = rows.select(place, at, F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
-    each = each.select(place, at, F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    hits = each.join(gone, each[at].eqNullSafe(gone.gone_host) & (each.line == gone.gone_line))
-    hits = hits.groupBy(F.col(place).alias("hit_row")).agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("n_removed_words"))
-    out = rows.join(hits, rows[place] == hits.hit_row, "left").drop("hit_row", place, at, *key, "lines", "line_words")
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_removed_lines", "n_removed_words")})
-    left = F.col("n_words") - F.col("n_removed_words")
-    out = out.withColumns(
-        {
-            "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-            "depleted": (F.col("n_removed_words") > 0) & (left < MIN_KEPT_SHARE * F.col("n_words")),
-        }
-    )
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+    names = [f"c{i}" for i in range(len(keep))]
+    key = text_key(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(host).alias("host"), F.col(text).alias("text"), *key)
+    return _judged(rows, limit).select(*names, *_VERDICT).toDF(*kept(keep, _VERDICT), *_VERDICT)
+
 
+def without_lines(text: str, gone: list[int]) -> str:
+    """The text without the lines at these places among its lines with a word."""
+    drop, out, place = set(gone), [], 0
+    for line in text.split("\n"):
+        blank = not line.strip(" \t\n\v\f\r")
+        if blank or place not in drop:
+            out.append(line)
+        place += not blank
+    return "\n".join(out)
 
-def quality_filter(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The documents that the rules keep, with all their columns, unchanged.
+
+def quality_filter(docs: DataFrame, host: str = "source", text: str = "text", length: str | None = "n_chars", limit: int = LINE_LIMIT) -> DataFrame:
+    """The documents that the rules keep, with all their columns, without their boilerplate lines; ``length`` becomes the new length.
 
     The verdict depends on text and host alone, so it is found once for each
-    key of (text, host) and the documents are joined with the rejected keys.
+    key of (text, host). Texts that lose no line stay byte for byte.
     """
     names = {f"c{i}": c for i, c in enumerate(docs.columns)}
     own = {c: k for k, c in names.items()}
-    key = text_key(F.coalesce(F.col(own[text]), F.lit("")))
-    rows = docs.toDF(*names).select("*", *key)
-    bad = judge(rows, ["k1", "k2", own[host]], own[host], own[text]).where(~F.col("kept"))
-    bad = bad.select(F.col("k1").alias("bad1"), F.col("k2").alias("bad2"), F.col(own[host]).alias("bad_host")).distinct()
-    match = (rows.k1 == bad.bad1) & (rows.k2 == bad.bad2) & rows[own[host]].eqNullSafe(bad.bad_host)
-    return rows.join(bad, match, "left_anti").select(*names).toDF(*docs.columns)
+    rows = docs.toDF(*names).select("*", *text_key(F.coalesce(F.col(own[text]), F.lit(""))))
+    found = _judged(rows.select(F.col(own[host]).alias("host"), F.col(own[text]).alias("text"), "k1", "k2"), limit)
+    changed = found.where(~F.col("kept") | (F.col("n_removed_lines") > 0)).groupBy("host", "k1", "k2").agg(F.first("kept").alias("stays"), F.first("gone").alias("gone"))
+    changed = changed.withColumnsRenamed({"host": "of_host", "k1": "of1", "k2": "of2"})
+    match = (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2")) & F.col(own[host]).eqNullSafe(F.col("of_host"))
+    out = rows.join(changed, match, "left").where(F.coalesce("stays", F.lit(True))).select(*names, F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+
+    def run(batches):
+        for batch in batches:
+            place = batch.schema.get_field_index(own[text])
+            many = np.asarray(pc.list_value_length(batch.column(len(names))))
+            columns = batch.columns[: len(names)]
+            if many.any():
+                old, gone = columns[place].to_pylist(), batch.column(len(names))
+                for i in np.flatnonzero(many):
+                    old[i] = without_lines(old[i], gone[int(i)].as_py())
+                columns[place] = pa.array(old, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, names=list(names))
+
+    schema = ", ".join(f"{k} {out.schema[k].dataType.simpleString()}" for k in names)
+    whole = out.mapInArrow(run, schema).toDF(*docs.columns)
+    if length in docs.columns:
+        whole = whole.withColumn(length, F.when(F.col(text).isNotNull(), F.length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType))
+    return whole
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
