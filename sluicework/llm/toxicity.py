@@ -2,9 +2,11 @@
 
 Small transducers are composed into one machine that reads the word classes of
 a clause: the negation and reported-speech transducers mark what stands in
-their reach, and the insult, threat and target transducers turn marked words
-into matches. So clauses are scored, not words: "you are an idiot", "an idiot",
-"not an idiot" and "he said idiot" are matches of different kinds.
+their reach, and the match transducer turns marked insults and threats, with a
+target up to ``REACH`` words before or after, into matches. An insult without
+one is a match of a lesser kind, a threat without one is none. So clauses are
+scored, not words: "you are an idiot", "idiot, that you are", "an idiot", "not
+an idiot" and "he said idiot" are matches of different kinds.
 
 The weights are learned. The insult lexicon holds words and word stems whose
 presence in a labelled text makes the label likely; each match kind has a
@@ -13,12 +15,15 @@ where there is little evidence. A text's score is the noisy-or of its matches.
 
 The fit reads a bounded sample, ``SAMPLE`` labelled rows of each label, taken
 by the hash of doc_id; near copies count once (one row for each least 5-word
-shingle), so that a group of copies can't teach its words. All rows are scored,
+shingle, whole texts where there is none), so that a group of copies can't teach
+its words. All rows are scored,
 in one narrow Arrow pass that looks closer only at texts with a lexicon word.
 
 Defined results. Null, empty or matchless text: the base score. No labels: an
 empty lexicon, so only threats match. Repeated rows and equal texts get equal
-scores; an empty table gives an empty result; columns of the caller are kept.
+scores; an empty table gives an empty result; very long texts are scored whole;
+columns of the caller are kept, and one that is named like the output gets
+underscores before its name.
 """
 
 from __future__ import annotations
@@ -27,14 +32,15 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import held_out
-from .quality_rules import light
-from .shared import stored, table
-from .textvec import blocks
+from .ngram_join import WORDS, shingles
+from .shared import kept, stored, table
+from .textvec import Texts, blocks
 from .word_tokens import Generations
 
 SAMPLE = 4000  # labelled rows of each label that the fit reads
@@ -61,16 +67,13 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 @dataclass
 class Transducer:
-    """Deterministic; (state, symbol) gives (state, output). A missing symbol takes the state's "*" and passes through."""
+    """Deterministic; (state, symbol) gives (state, output). A missing symbol takes the state's "*"; without an output the symbol passes through."""
 
     start: object
     moves: dict = field(default_factory=dict)
 
     def step(self, state, symbol):
-        found = self.moves.get((state, symbol))
-        if found is not None:
-            return found
-        state, output = self.moves.get((state, "*"), (state, None))
+        state, output = self.moves.get((state, symbol)) or self.moves.get((state, "*"), (state, None))
         return state, symbol if output is None else output
 
     def then(self, other: Transducer, symbols: Iterable[str]) -> Transducer:
@@ -90,43 +93,54 @@ class Transducer:
         return out
 
 
-#: Word classes. The negation and report transducers put a sign before those in their reach.
-CLASSES = ("word", "insult", "threat", "target", "negation", "report")
+#: Word classes, and the end of a clause. The negation and report transducers put a sign before those in their reach.
+CLASSES = ("word", "insult", "threat", "target", "negation", "report", "end")
 
 
 def negation() -> Transducer:
     """Insults and threats within REACH words after a negation become "-insult" and "-threat"."""
     t = Transducer(0)
     for left in range(REACH + 1):
-        t.moves[left, "negation"] = (REACH, None)
         t.moves[left, "*"] = (max(0, left - 1), None)
+        t.moves[left, "negation"] = (REACH, "word")
+        t.moves[left, "end"] = (0, None)
         for kind in ("insult", "threat"):
             t.moves[left, kind] = (max(0, left - 1), f"-{kind}" if left else kind)
-        t.moves[left, "negation"] = (REACH, "word")
     return t
 
 
 def report() -> Transducer:
     """What follows a reporting verb in a clause becomes reported."""
-    t = Transducer("own", {("own", "report"): ("reported", "word"), ("reported", "report"): ("reported", "word")})
+    t = Transducer("own", {(state, "report"): ("reported", "word") for state in ("own", "reported")})
     for kind in ("insult", "threat"):
         t.moves["reported", kind] = ("reported", f"~{kind}")
+    t.moves["reported", "end"] = ("own", None)
     return t
 
 
 def matches() -> Transducer:
-    """Insults and threats, alone or near a target, become kinds of match; everything else gives nothing."""
-    t = Transducer(0)
-    for near in range(REACH + 1):
-        after = max(0, near - 1)
-        t.moves[near, "*"] = (after, "")
-        t.moves[near, "word"] = (after, "")
-        t.moves[near, "target"] = (REACH, "")
-        t.moves[near, "insult"] = (after, "targeted" if near else "insult")
-        t.moves[near, "threat"] = (after, "threat" if near else "threat?")
-        for kind in ("insult", "threat"):
-            t.moves[near, f"-{kind}"] = (after, "negated")
-            t.moves[near, f"~{kind}"] = (after, "reported")
+    """Outputs tuples of (kind of match, whether it is that of the held insult and not of this word).
+
+    A state is how many more words a target before reaches, and how many more
+    words the last insult and the last threat may wait for a target after them.
+    """
+    t = Transducer((0, 0, 0))
+    less = lambda n: max(0, n - 1)
+    waits = range(REACH + 1)
+    for near in waits:
+        for insult in waits:
+            for threat in waits:
+                state, later = (near, insult, threat), (less(near), less(insult), less(threat))
+                expired = (("insult", True),) * (insult == 1)
+                held = (("insult", True),) * (insult > 0)
+                t.moves[state, "*"] = (later, expired)
+                t.moves[state, "target"] = ((REACH, 0, 0), (("targeted", True),) * (insult > 0) + (("threat", False),) * (threat > 0))
+                t.moves[state, "insult"] = ((less(near), 0 if near else REACH, less(threat)), held + (("targeted", False),) * (near > 0))
+                t.moves[state, "threat"] = ((less(near), less(insult), less(threat) if near else REACH), expired + (("threat", False),) * (near > 0))
+                for kind in ("insult", "threat"):
+                    t.moves[state, f"-{kind}"] = (later, (*expired, ("negated", False)))
+                    t.moves[state, f"~{kind}"] = (later, (*expired, ("reported", False)))
+                t.moves[state, "end"] = ((0, 0, 0), held)
     return t
 
 
@@ -154,6 +168,14 @@ class Grammar:
     def _string(self, string: str) -> bool:
         return any(self.known.all(_WORD.findall(string), self._word))
 
+    @staticmethod
+    def _class(word: str, value: float) -> str:
+        if not word:
+            return "end"
+        if value:
+            return "threat" if value == 2 else "insult"
+        return "target" if word in TARGETS else "negation" if word in NEGATIONS else "report" if word in REPORTS else "word"
+
     def kinds(self, text: str) -> list[tuple[str, float]]:
         """kind, lexicon weight: the matches of a text."""
         low = text.lower()
@@ -165,17 +187,13 @@ class Grammar:
             values = self.known.all(words, self._word)
             if not any(values):
                 continue
-            state, awaited = self.machine.start, False
-            for word, value in zip(words, values, strict=True):
-                symbol = "threat" if value == 2 else "insult" if value else "target" if word in TARGETS else "negation" if word in NEGATIONS else "report" if word in REPORTS else "word"
-                state, kind = self.machine.step(state, symbol)
-                if kind == "threat?":  # it counts if its target follows in the clause
-                    awaited = True
-                elif kind:
-                    found.append((kind, min(value, 1.0)))
-                elif awaited and symbol == "target":
-                    found.append(("threat", 1.0))
-                    awaited = False
+            state, held = self.machine.start, 0.0
+            for word, value in zip((*words, ""), (*values, 0.0), strict=True):
+                symbol = self._class(word, value)
+                state, out = self.machine.step(state, symbol)
+                found += [(kind, held if of_held else min(value, 1.0) or 1.0) for kind, of_held in out]
+                if symbol == "insult":
+                    held = value
         return found
 
     def score(self, text: str | None) -> float:
@@ -192,10 +210,20 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame,
     below = F.when(F.col("label") == 1, sample * 2**32 / size.get(1, 1)).otherwise(sample * 2**32 / size.get(0, 1))
     few = marked.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < below)
     few = stored(few.select(F.col("doc_id").alias("of_id"), "label"))
-    rows = docs.join(few, F.col("doc_id") == F.col("of_id")).select("text", "label")
-    named = light(rows.withColumn("whole", F.col("text")), ["label", "whole"])
-    one = named.groupBy("family", "label").agg(F.min("whole").alias("text"))
-    return stored(one.select("text", "label")), size
+    rows = docs.join(few, F.col("doc_id") == F.col("of_id")).select("text", F.col("label").cast("int").alias("label"))
+
+    def families(batches):
+        for block in blocks(batches, BLOCK_BYTES):
+            t = Texts(block.column(0))
+            doc, value = shingles(t, WORDS)
+            least = np.zeros(t.n, np.uint64)
+            begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
+            if len(begin):
+                least[doc[begin]] = np.minimum.reduceat(value, begin)
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(least.view(np.int64))], names=["text", "label", "family"])
+
+    named = rows.mapInArrow(families, "text string, label int, family long")
+    return stored(named.groupBy("family", "label").agg(F.min("text").alias("text")).select("text", "label")), size
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
@@ -253,7 +281,7 @@ def score(docs: DataFrame, model: Grammar, keep: list[str], text: str = "text")
 
     renamed = docs.select(F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     schema = ", ".join(f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names)
-    return renamed.mapInArrow(run, f"{schema}, score double").toDF(*keep, "score")
+    return renamed.mapInArrow(run, f"{schema}, score double").toDF(*kept(keep, ["score"]), "score")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
