@@ -19,7 +19,9 @@ token is split otherwise than the whole text is; those places are corrected, so
 Defined results. A null or empty text has no prefixes and 0 tokens. Special
 strings in a text count as the library's default has it: one token. Repeated
 rows are counted each, an empty table gives an empty result, and columns of the
-caller are kept as they are.
+caller are kept as they are; one that is named like an output gets underscores
+before its name. Very long texts are counted whole, and what is remembered of
+strings and pairs is bounded by bytes.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import table
+from .shared import kept, table
 from .textvec import blocks
 from .word_tokens import _L, _LETTER, _N, _ODD, Generations
 
@@ -46,7 +48,7 @@ BLOCK_BYTES = 1 << 20
 _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 _CROSSING = re.compile(r"\s ")
 _PAIRS = 800_000
-_STRINGS = 400_000
+_STRING_BYTES = 80 << 20
 
 
 def _space(sign: str) -> bool:
@@ -72,7 +74,7 @@ class PrefixCounter:
         self.letters = {i: t.decode("latin-1").translate(_LETTER) for t, i in self.vocabulary.items()}
         self.longest = max(map(len, self.vocabulary))
         self.pairs: dict[int, bool] = {}
-        self.pieces, self.strings = Generations(_STRINGS), Generations(_STRINGS)
+        self.pieces, self.strings = Generations(_STRING_BYTES), Generations(_STRING_BYTES)
         self.state: tuple[bytes, list[int], list[int], list[int]] = (b"", [-1], [0], [0])
 
     def _valid(self, left: int, right: int) -> bool:
@@ -130,7 +132,8 @@ class PrefixCounter:
         unknown = {p for ps in split.values() for p in ps}
         unknown.difference_update(pieces.new)
         pieces.all(sorted(unknown), self._piece)
-        strings.put({x: self._string_of(x, ps) for x, ps in split.items()})
+        for x, ps in split.items():
+            strings.put(x, self._string_of(x, ps))
 
     def _split(self, text: str) -> list[str]:
         if not _ODD.search(text):
@@ -206,22 +209,49 @@ def prefix_counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def prefix_counts(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` with prefix_counts: array<int>, entry k the tokens of the first k characters."""
+def _mapped(docs: DataFrame, path: str, keep: list[str], text: str, schema: str, answer) -> DataFrame:
+    """The columns ``keep`` with those of ``schema``, which ``answer`` makes of the counts of a block's texts."""
+    outputs = [x.split()[0] for x in schema.split(", ")]
+    names = [f"c{i}" for i in range(len(keep))]
 
     def run(batches):
         counter = prefix_counter(path)
         for block in blocks(batches, BLOCK_BYTES):
             texts = [x or "" for x in block.column(0).to_pylist()]
             counter.learn(texts)
-            counts = [counter.counts(x) for x in texts]
-            at = np.concatenate(([0], np.cumsum([len(c) for c in counts]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*block.columns[1:], pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(counts)))], names=[*names, "prefix_counts"])
+            yield pa.RecordBatch.from_arrays([*block.columns[1:], *answer(counter.counts(x) for x in texts)], names=[*names, *outputs])
 
-    names = [f"c{i}" for i in range(len(keep))]
     renamed = docs.select(F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
-    schema = ", ".join(f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names)
-    return renamed.mapInArrow(run, f"{schema}, prefix_counts array<int>").toDF(*keep, "prefix_counts")
+    own = ", ".join(f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names)
+    return renamed.mapInArrow(run, f"{own}, {schema}").toDF(*kept(keep, outputs), *outputs)
+
+
+def prefix_counts(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` with prefix_counts: array<int>, entry k the tokens of the first k characters."""
+
+    def whole(counts):
+        counts = list(counts)
+        at = np.concatenate(([0], np.cumsum([len(c) for c in counts]))).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(counts)))]
+
+    return _mapped(docs, path, keep, text, "prefix_counts array<int>", whole)
+
+
+def budgets(docs: DataFrame, path: str, keep: list[str], budget: int, text: str = "text") -> DataFrame:
+    """The columns ``keep`` with n_tokens and fits, the longest prefix in characters of at most ``budget`` tokens.
+
+    The questions are asked where the counts are made, so these don't leave the task.
+    """
+
+    def asked(counts):
+        n, fits = [], []
+        for c in counts:
+            n.append(int(c[-1]) if len(c) else 0)
+            within = np.flatnonzero(c <= budget) if len(c) and c.max() > budget else None
+            fits.append(len(c) if within is None else int(within[-1]) + 1 if len(within) else 0)
+        return [pa.array(n, pa.int64()), pa.array(fits, pa.int64())]
+
+    return _mapped(docs, path, keep, text, "n_tokens long, fits long", asked)
 
 
 def tokens_of(counts: Column, characters: Column | int | None = None) -> Column:
@@ -239,6 +269,5 @@ def op8_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    out = prefix_counts(docs, public_tokenizers.path(TOKENIZER), ["doc_id", "n_bytes"])
-    n_tokens = tokens_of(F.col("prefix_counts"))
-    return out.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > TOKEN_LIMIT).alias("over_limit"))
+    out = budgets(docs, public_tokenizers.path(TOKENIZER), ["doc_id", "n_bytes"], TOKEN_LIMIT)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fits")

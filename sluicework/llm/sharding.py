@@ -13,8 +13,9 @@ so both passes see the same runs; the text is read once and never shuffled.
 
 Defined results. A null doc_id is the key of the empty string. A null text has
 size 1 and checksum 0. Rows that repeat a key go to one shard and get slots of
-their own, however many they are. An empty table gives an empty result. Columns
-of other names are not looked at.
+their own, however many they are. An empty table gives an empty result. Very long
+texts are read whole, by the JVM. Columns of other names are not looked at; a key
+column that is named like an output gets underscores before its name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import kept, stored, table
 
 SHARDS = 16
 
@@ -54,16 +55,19 @@ def number(rows: DataFrame, shard: str = "shard", order: str = "row_id") -> Data
     return out.withColumn("slot", (F.col("start") + F.col("place")).cast("long")).drop("run", "of_run", "of_shard", "n", "start", "place")
 
 
+_OUT = ["size", "text_crc32", "shard", "slot", "grown_shard"]
+
+
 def shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot, grown_shard (with one more shard of weight 1)."""
-    key = F.col(doc_id)
+    key = F.col("key_")
     light = docs.select(
-        key,
+        F.col(doc_id).alias("key_"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
     light = light.withColumns({"shard": winner(key, weights), "grown_shard": winner(key, [*weights, 1.0]), "row_id": F.monotonically_increasing_id()})
-    return number(stored(light)).select(doc_id, "size", "text_crc32", "shard", "slot", "grown_shard")
+    return number(stored(light)).select("key_", *_OUT).toDF(*kept([doc_id], _OUT), *_OUT)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,9 @@ _ODD = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f]|<\\|")
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _LETTER = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
 _NORMALS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
-MEMORY_WORDS = 200_000
+MEMORY_BYTES = 48 << 20  # of one generation of a cache, counted with _ENTRY for each entry
+_ENTRY = 200
+_LONG = 256  # characters; longer strings are worked out anew each time
 
 
 class WordIds:
@@ -89,15 +91,21 @@ class WordIds:
 
 
 class Generations:
-    """What has been worked out for strings, in bounded memory: when the newer half is full, the older one is forgotten."""
+    """What has been worked out for strings, in memory bounded by bytes: when the newer half is full, the older one is forgotten. Long strings are not kept."""
 
-    def __init__(self, size: int = MEMORY_WORDS):
-        self.size, self.new, self.old = size, {}, {}
+    def __init__(self, size: int = MEMORY_BYTES):
+        self.size, self.used, self.new, self.old = size, 0, {}, {}
 
-    def put(self, known: dict) -> None:
-        if len(self.new) + len(known) > self.size:
-            self.old, self.new = self.new, {}
-        self.new.update(known)
+    def _cost(self, key: str, value) -> int:
+        return _ENTRY + 2 * len(key) + (len(value) if isinstance(value, bytes) else 0)
+
+    def put(self, key: str, value) -> None:
+        if len(key) > _LONG:
+            return
+        self.used += self._cost(key, value)
+        if self.used > self.size:
+            self.old, self.new, self.used = self.new, {}, self._cost(key, value)
+        self.new[key] = value
 
     def all(self, keys: list[str], work) -> list:
         out = list(map(self.new.get, keys))
@@ -111,9 +119,7 @@ class Generations:
                     value = self.old.get(key)
                     if value is None:
                         value = work(key)
-                    if len(self.new) >= self.size:
-                        self.old, self.new = self.new, {}
-                    self.new[key] = value
+                    self.put(key, value)
                 out[i] = value
         return out
 
