@@ -1,6 +1,9 @@
 """The pipeline on a small corpus; each stage's decisions take effect."""
 
+import os
+
 import corpus_pipeline
+import pytest
 
 BASE = " ".join(f"w{i * 7 % 101}x{i}" for i in range(120))
 PASSAGE = " ".join(f"p{i}" for i in range(50))
@@ -25,3 +28,26 @@ def test_stages(spark, tmp_path):
     assert set(seen[3]) == {1, 4, 5, 9}
     assert {r.doc_id for r in now.collect()} == {1, 4, 5, 9}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, ids string, score string"
+
+
+@pytest.mark.parametrize("case", ["empty", "copies", "no benchmark"])
+def test_edges(spark, tmp_path, case):
+    own = lambda k: " ".join(f"t{k}u{i}" for i in range(40))
+    rows = [] if case == "empty" else [(5, own(1))] * 4 + [(3, own(1)), (8, own(2)), (8, own(2)), (9, None), (10, ""), (11, " ".join(f"long{i}" for i in range(100_000)))]
+    spark.createDataFrame([(i, t, None, None, None, "clash", "clash") for i, t in rows], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [] if case == "no benchmark" else [(1, "nowhere to be found")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == (set() if case == "empty" else {3, 8, 11})
+
+
+def test_a_run_leaves_one_table(spark, tmp_path):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    spark.createDataFrame([(1, BASE, "en", "s", 5, "", "")], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert len(set(os.listdir(folder)) - before) == 1
