@@ -1,8 +1,7 @@
 """The rule catalogue as a dimension table.
 
 The catalogue is a parameter: ``read_catalogue`` loads any number of rules from
-JSON lines. Built in are only the rules that the detectors of this package can
-raise by their messages.
+JSON lines. Built in is the whole rule table.
 """
 
 from __future__ import annotations
@@ -10,24 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import RULES
+
 SCHEMA = "ordinal int, code string, severity string, patterns array<string>"
 
-#: Code, default severity, message patterns (they ignore case); the order is the priority.
-BUILT_IN = [
-    ("S101", "CRITICAL", [r"import\s+os\b", r"from\s+os\s+import"]),
-    ("S103", "CRITICAL", [r"import\s+subprocess", r"from\s+subprocess\s+import"]),
-    ("S104", "CRITICAL", [r"\beval\s*\(", r"\bexec\s*\(", r"eval.*exec"]),
-    ("S106", "CRITICAL", [r"__import__\s*\(", r"__import__"]),
-    ("S301", "HIGH", [r"import\s+socket", r"from\s+socket\s+import", r"socket\."]),
-    ("S308", "LOW", [r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"]),
-    ("S309", "LOW", [r"https?://", r"ftp://", r"ws://"]),
-    ("S405", "CRITICAL", [r"\.\./", r"\.\.\\", r"parent/parent", r"traversal"]),
-    ("S601", "MEDIUM", [r"base64", r"b64decode", r"base64\.b64"]),
-    ("S701", "MEDIUM", [r"api[_-]?key", r"apikey", r"api_secret"]),
-    ("S702", "HIGH", [r"password", r"passwd", r"credential", r"secret"]),
-    ("S802", "LOW", [r"outlier.*neuron", r"extreme.*weight", r"sigma.*deviation"]),
-    ("S901", "MEDIUM", [r"type.*mismatch", r"extension.*mismatch", r"format.*conflict"]),
-]
+#: code, default severity, message patterns (they ignore case); the order is the priority.
+BUILT_IN = [(code, severity, patterns) for code, severity, _, patterns in RULES]
 
 
 def built_in(spark: SparkSession) -> DataFrame:
@@ -43,19 +30,20 @@ def match_rules(messages: DataFrame, rules: DataFrame, message: str = "message")
     """``messages`` with rule_code: the first rule in order of which a pattern is found; null if none is.
 
     Messages repeat, so distinct ones are matched and joined back. The rules
-    come to the driver, at most MAX_RULES, and become one expression whose
-    patterns Spark compiles once.
+    come to the driver and become expressions, MAX_RULES in each, whose patterns
+    Spark compiles once; a catalogue of any size is matched whole.
     """
-    found = rules.orderBy("ordinal").limit(MAX_RULES + 1).collect()
-    if len(found) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    code = None
-    for r in found:
-        hit = F.col("of_message").rlike("(?i)" + "|".join(f"(?:{p})" for p in r.patterns))
-        code = (F if code is None else code).when(hit, F.lit(r.code))
+    found = rules.orderBy("ordinal").collect()
+    codes = []
+    for at in range(0, len(found), MAX_RULES):
+        code = F
+        for r in found[at : at + MAX_RULES]:
+            hit = F.col("of_message").rlike("(?i)" + "|".join(f"(?:{p})" for p in r.patterns))
+            code = code.when(hit, F.lit(r.code))
+        codes.append(code)
     distinct = messages.select(F.col(message).alias("of_message")).where("of_message is not null").distinct()
-    distinct = distinct.withColumn("rule_code", F.lit(None).cast("string") if code is None else code)
+    distinct = distinct.withColumn("rule_code", F.coalesce(*codes) if codes else F.lit(None).cast("string"))
     return messages.join(distinct, F.col(message) == F.col("of_message"), "left").drop("of_message")
 
 
-MAX_RULES = 2000
+MAX_RULES = 200
