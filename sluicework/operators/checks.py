@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 SEVERITIES = ["debug", "info", "warning", "critical"]
 CONFIGURED = {"CRITICAL": "critical", "HIGH": "critical", "MEDIUM": "warning", "LOW": "info", "INFO": "info"}
 
-MAX_GLOBS = 1000
-
 
 def rank(severity: Column) -> Column:
     """0 to 3; null for null. Names don't sort as severities do."""
@@ -28,12 +26,30 @@ def rank(severity: Column) -> Column:
 
 
 def asset_of(location: Column) -> Column:
-    """The file of a location: its first word up to a colon; "unknown" where there is none."""
-    word = F.regexp_extract(F.coalesce(location, F.lit("")), r"^\s*(\S+)", 1)
-    path = F.substring_index(word, ":", 1)
+    """The file of a location: its first word up to a colon, but for that of a drive; "unknown" where there is none."""
+    path = F.regexp_extract(F.coalesce(location, F.lit("")), r"^\s*((?:[A-Za-z]:(?=[\\/]))?[^\s:]*)", 1)
     return F.when(path == "", "unknown").otherwise(path)
 
 
+def glob_regex(glob: str) -> str:
+    """A shell pattern as a regular expression for whole strings: "*", "?", "[abc]" and "[!abc]"."""
+    out, i = "", 0
+    while i < len(glob):
+        c, i = glob[i], i + 1
+        end = glob.find("]", i + 1 + glob.startswith("!", i)) if c == "[" else -1
+        if c == "*":
+            out += ".*"
+        elif c == "?":
+            out += "."
+        elif end >= 0:
+            inside = glob[i:end].replace("\\", r"\\").replace("[", r"\[").replace("&&", r"&\&").replace("^", r"\^")
+            out += f"[^{inside[1:]}]" if inside.startswith("!") else f"[{inside}]"
+            i = end + 1
+        else:
+            out += re.escape(c)
+    return f"(?s)^{out}$"
+
+
 def apply_policy(findings: DataFrame, suppressions: DataFrame | None = None, overrides: DataFrame | None = None, whitelist: DataFrame | None = None) -> DataFrame:
     """Suppression, severity override, default severity and whitelist downgrade, in this order.
 
@@ -46,13 +62,13 @@ def apply_policy(findings: DataFrame, suppressions: DataFrame | None = None, ove
     if suppressions is not None:
         by_code = suppressions.where("glob is null").select(F.col("code").alias("s_code")).distinct()
         out = out.join(by_code, F.col("rule_code") == F.col("s_code"), "left_anti")
-        globs = suppressions.where("glob is not null").limit(MAX_GLOBS + 1).collect()
-        if len(globs) > MAX_GLOBS:
-            raise ValueError(f"more than {MAX_GLOBS} path patterns")
         base = F.regexp_extract("location", r"([^/]*)$", 1)
-        for g in globs:
-            pattern = "^" + "".join(".*" if c == "*" else re.escape(c) for c in g.glob) + "$"
-            hit = (F.col("location").rlike(pattern) | base.rlike(pattern)) & ((F.col("rule_code") == g.code) | (F.lit(g.code == "ALL") & F.col("rule_code").isNotNull()))
+        codes: dict[str, list[str]] = {}
+        for g in suppressions.where("glob is not null").distinct().toLocalIterator():
+            codes.setdefault(g.code, []).append(glob_regex(g.glob))
+        for code, patterns in codes.items():  # one predicate a code, its patterns joined
+            joined = "|".join(f"(?:{p})" for p in sorted(patterns))
+            hit = (F.col("location").rlike(joined) | base.rlike(joined)) & ((F.col("rule_code") == code) | (F.lit(code == "ALL") & F.col("rule_code").isNotNull()))
             out = out.where(~F.coalesce(hit, F.lit(False)))
     if overrides is not None:
         mapped = None
@@ -70,7 +86,10 @@ def apply_policy(findings: DataFrame, suppressions: DataFrame | None = None, ove
 
 
 def consolidate(checks: DataFrame) -> DataFrame:
-    """One row for each (name, asset). A single check keeps its status and rule code; of more, failed wins over passed over skipped."""
+    """One row for each (name, asset). A single check keeps its status and rule code; of more, failed wins over passed over skipped.
+
+    If checks have details (JSON), findings holds those of the failed ones in order.
+    """
     failed = F.col("status") == "failed"
     first = lambda c: F.min(F.when(failed & F.col(c).isNotNull(), F.struct("seq", c)))[c]
     own = F.min_by(F.struct("status", "message", "severity", "why", "rule_code"), "seq")
@@ -86,6 +105,7 @@ def consolidate(checks: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("status") == "passed", F.col("message"))).alias("p_messages"),
         F.min(F.when(F.col("status") == "passed", F.col("message"))).alias("p_message"),
         F.max("ts").alias("ts"),
+        *([F.transform(F.array_sort(F.collect_list(F.when(failed & F.col("details").isNotNull(), F.struct("seq", "details")))), lambda x: x["details"]).alias("findings")] if "details" in checks.columns else []),
     )
     many = F.col("n") > 1
     status = F.when(F.col("n_failed") > 0, "failed").when(F.col("n_passed") > 0, "passed").otherwise("skipped")
@@ -102,6 +122,7 @@ def consolidate(checks: DataFrame) -> DataFrame:
         F.when(many, F.col("f_why")).otherwise(F.col("own.why")).alias("why"),
         F.when(~many, F.col("own.rule_code")).alias("rule_code"),
         "ts",
+        *(["findings"] if "details" in checks.columns else []),
     )
 
 

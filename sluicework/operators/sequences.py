@@ -28,18 +28,34 @@ def stream_ids(ops: DataFrame, key: str, order: str, name: str, stop: str) -> Da
     return ops.withColumn("stream", F.coalesce(F.sum((F.col(name) == stop).cast("long")).over(before), F.lit(0)))
 
 
-def final_depth(ops: DataFrame, key: str, order: str, change: Column) -> DataFrame:
-    """key, depth, deepest: a counter that never falls below 0. ``change``: what a row adds.
+def final_depth(ops: DataFrame, key: str, order: str, change: Column, reset: Column) -> DataFrame:
+    """key, depth, deepest: a counter that never falls below 0 and is 0 again at a reset. ``change``: what a row adds.
 
-    The floor makes it no plain sum: the depth is the running sum less its
-    least value so far, or 0.
+    The floor makes it no plain sum: within a stretch between resets the depth
+    is the running sum less its least value so far, or 0.
     """
     up_to = _by(key, order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ops.withColumn("sum_", F.sum(change).over(up_to))
-    rows = rows.withColumn("depth_", F.col("sum_") - F.least(F.lit(0), F.min("sum_").over(up_to)))
+    rows = ops.withColumn("stretch_", F.sum(reset.cast("long")).over(up_to)).withColumn("change_", F.when(reset, 0).otherwise(change))
+    within = Window.partitionBy(key, "stretch_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum_", F.sum("change_").over(within))
+    rows = rows.withColumn("depth_", F.col("sum_") - F.least(F.lit(0), F.min("sum_").over(within)))
     return rows.groupBy(key).agg(F.max_by("depth_", order).alias("depth"), F.max("depth_").alias("deepest"))
 
 
+def last_strings(ops: DataFrame, key: str, order: str, said: str, at: Column) -> DataFrame:
+    """key, order, module, function: the last two strings before each row of ``at``."""
+    before = _by(key, order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ops.withColumn("last_", F.last(said, ignorenulls=True).over(before))
+    second = F.when(F.col(said).isNotNull(), F.struct(F.col("last_").alias("before"), F.col(said).alias("own")))
+    rows = rows.withColumn("pair_", F.last(second, ignorenulls=True).over(before))
+    return rows.where(at).select(key, order, F.col("pair_.before").alias("module"), F.col("pair_.own").alias("function"))
+
+
+def neighbours(rows: DataFrame, key: str, order: str, text: str, n: int) -> DataFrame:
+    """key, order, near: a row's text with those of ``n`` rows before and after."""
+    return rows.select(key, order, F.array_join(F.collect_list(text).over(_by(key, order).rowsBetween(-n, n)), " ").alias("near"))
+
+
 def followed(ops: DataFrame, key: str, order: str, first: Column, then: Column, reach: int = 5) -> DataFrame:
     """key, at: the first row of each key after which, within ``reach`` rows, another one follows."""
     ahead = F.max(then.cast("int")).over(_by(key, order).rowsBetween(1, reach))
