@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,12 +84,30 @@ def gaps(tensors: DataFrame, key: str, begin: str, end: str) -> DataFrame:
 
 
 def throttled(events: DataFrame, key: str, at: str, interval: float) -> DataFrame:
-    """key, emitted: how many events pass if each must be ``interval`` after the last that passed. One key is folded in order."""
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.col(at).cast("double"))).alias("l"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("n"))
+    """key, emitted: how many events pass if each must be ``interval`` after the last that passed.
 
-    def step(a, t):
-        passes = a["last"].isNull() | (t - a["last"] >= interval)
-        return F.struct(F.when(passes, t).otherwise(a["last"]).alias("last"), (a["n"] + passes.cast("long")).alias("n"))
-
-    return listed.select(key, F.aggregate("l", start, step)["n"].alias("emitted"))
+    Whether an event passes hangs on all before it, so a key is folded in order:
+    its times stream sorted through one task, which keeps the last that passed
+    and nothing else.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(F.col(key).alias("k"), F.col(at).cast("double").alias("t")).repartition("k").sortWithinPartitions("k", "t")
+
+    def fold(batches):
+        now, last, n = None, None, 0
+        for batch in batches:
+            done = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n and k != now:
+                    done.append((now, n))
+                    n = 0
+                if not n or t - last >= interval:
+                    last, n = t, n + 1
+                now = k
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], batch.schema.field(0).type), pa.array([m for _, m in done], pa.int64())], names=["k", "emitted"])
+            field = batch.schema.field(0).type
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([now], field), pa.array([n], pa.int64())], names=["k", "emitted"])
+
+    return rows.mapInArrow(fold, f"k {kind}, emitted long").withColumnRenamed("k", key)

@@ -2,36 +2,171 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables as T
+from ..functions.detect import any_of
+
+
+#: Parts of source code, of which three tell it.
+CODE_PARTS = [b"def ", b"class ", b"import ", b"from ", b"if ", b"else:", b"for ", b"while ", b"return ", b"print(", b"self."]
+#: Limits of what code looks like: printable share, line ends, NULs, entropy.
+CODE_PRINTABLE, CODE_LINES, CODE_NULS, CODE_ENTROPY = (0.7, 0.95), (0.01, 0.1), 0.01, (5.0, 7.0)
+
+
+def entropies(windows: np.ndarray) -> np.ndarray:
+    """Shannon entropy in bits of each row of bytes, by sorting rows and measuring runs."""
+    n, width = windows.shape
+    if not width:
+        return np.zeros(n)
+    rows = np.sort(windows, axis=1)
+    first = np.ones((n, width), bool)
+    first[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    at = np.flatnonzero(first)
+    count = np.diff(np.append(at, n * width))
+    return np.log2(width) - np.bincount(at // width, count * np.log2(count), n) / width
+
+
+def _entropy(data: bytes) -> float:
+    count = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    count = count[count > 0]
+    return float(np.log2(len(data)) - (count * np.log2(count)).sum() / len(data)) if len(data) else 0.0
+
+
+def byte_statistics(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """key, entropy, printable, line_ends (CRLF counts twice), nuls, code_parts, code, binary: statistics of bytes, one narrow pass.
+
+    code and binary are probabilities: the share of signs of code that hold, less where signs of binary data prevail.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for value in batch.column(1).cast(pa.binary()):
+                data = value.as_py() or b""
+                n = max(1, len(data))
+                count = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+                printable, lines, nuls = count[32:127].sum() / n, (count[10] + data.count(b"\r\n")) / n, count[0] / n
+                bits, parts = _entropy(data), sum(x in data for x in CODE_PARTS)
+                signs = [CODE_PRINTABLE[0] < printable < CODE_PRINTABLE[1], CODE_LINES[0] < lines < CODE_LINES[1], nuls < CODE_NULS, parts >= 3, CODE_ENTROPY[0] <= bits <= CODE_ENTROPY[1]]
+                code = sum(map(bool, signs)) / 5 if data else 0.0
+                binary = sum(map(bool, (bits > 7.5, nuls > 0.1, printable < 0.3))) / 3 if data else 0.0
+                out.append((bits, printable, lines, nuls, parts, code * (1 - binary) if binary > 0.5 else code, binary))
+            kinds = [pa.float64()] * 4 + [pa.int64()] + [pa.float64()] * 2
+            columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["k", "entropy", "printable", "line_ends", "nuls", "code_parts", "code", "binary"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key).alias("k"), content).mapInArrow(run, f"k {kind}, entropy double, printable double, line_ends double, nuls double, code_parts long, code double, binary double").withColumnRenamed("k", key)
+
+
+def data_type(length: Column, floats: Column, weight: Column, code: Column, binary: Column, entropy: Column) -> Column:
+    """type, confidence: what the bytes most likely are; the first of equal ones."""
+    one = lambda name, c: F.struct(F.lit(name).alias("type"), c.cast("double").alias("confidence"))
+    hits = F.array_compact(
+        F.array(
+            F.when((floats > 0.8) & (weight > 0.6), one("ml_weights", 0.9 * weight)),
+            F.when(code > 0.6, one("code", code)),
+            F.when(binary > 0.7, one("binary_data", binary)),
+            F.when(entropy > 7.5, one("random_data", F.lit(0.8))),
+        )
+    )
+    best = F.aggregate(hits, one("unknown", F.lit(0.0)), lambda a, x: F.when(x["confidence"] > a["confidence"], x).otherwise(a))
+    return F.when(length < 16, one("unknown", F.lit(0.0))).otherwise(best)
+
+
+def sliding_entropy(rows: DataFrame, key: str, content: str, size: int = 256, step: int = 128) -> DataFrame:
+    """key, at, entropy of each window of ``size`` bytes; a shorter content is one window. One narrow pass, linear in the bytes."""
 
-def text_entropy(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, entropy: Shannon entropy of each text's characters; one shuffle on (key, character)."""
-    signs = rows.select(key, F.explode(F.split(text, "")).alias("sign")).where("sign <> ''").groupBy(key, "sign").agg(F.count("*").alias("k"))
-    sums = signs.groupBy(key).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log2("k")).alias("s"))
-    return sums.select(key, (F.log2("n") - F.col("s") / F.col("n")).alias("entropy"))
+    def run(batches):
+        for batch in batches:
+            for i, value in enumerate(batch.column(1).cast(pa.binary())):
+                data = np.frombuffer(value.as_py() or b"", np.uint8)
+                windows = np.lib.stride_tricks.sliding_window_view(data, size)[::step] if len(data) >= size else data[None, :]
+                for begin in range(0, len(windows), 4096):
+                    part = windows[begin : begin + 4096]
+                    bits = entropies(part)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(bits))), pa.array((begin + np.arange(len(bits))) * step, pa.int64()), pa.array(bits)], names=["k", "at", "entropy"])
 
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key).alias("k"), content).mapInArrow(run, f"k {kind}, at long, entropy double").withColumnRenamed("k", key)
 
-def sliding_entropy(rows: DataFrame, key: str, text: str, size: int = 256, step: int = 128) -> DataFrame:
-    """key, at, entropy of each window of ``size`` characters."""
-    windows = rows.where(F.length(text) >= size).select(key, F.explode(F.sequence(F.lit(0), F.length(text) - size, F.lit(step))).alias("at"), text)
-    windows = windows.select(F.struct(key, "at").alias("window"), F.substring(F.col(text), F.col("at") + 1, F.lit(size)).alias("part"))
-    return text_entropy(windows, "window", "part").select("window.*", "entropy")
 
+def _bin_entropy(x: np.ndarray, bins: int = 50) -> float:
+    count = np.histogram(x, bins)[0]
+    count = count[count > 0]
+    return float(np.log2(len(x)) - (count * np.log2(count)).sum() / len(x))
 
-def byte_classes(text: Column) -> dict[str, Column]:
-    """Ratios of printable characters, of line ends (CRLF counts twice) and of NUL, and how many code keywords there are."""
-    n = F.greatest(F.length(text), F.lit(1))
-    words = ["import ", "def ", "class ", "return", "function", "eval(", "exec(", "if __name__", "from ", "lambda", "print("]
-    hits = sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
-    ends = F.length(F.regexp_replace(text, r"[^\n]", "")) + F.size(F.regexp_extract_all(text, F.lit("\r\n"), F.lit(0)))
-    return {
-        "printable": F.length(F.regexp_replace(text, r"[^ -~]", "")) / n,
-        "line_ends": ends / n,
-        "nul": F.length(F.regexp_replace(text, "[^\\x00]", "")) / n,
-        "code": F.when(hits >= 3, hits / 5.0).otherwise(0.0),
-    }
+
+def _float_row(x: np.ndarray, file_size: float) -> tuple[float, float, float, float]:
+    """ratio, entropy, weight, confidence of one vector."""
+    if not len(x):
+        return 0.0, 0.0, 0.0, 0.0
+    good = x[np.isfinite(x) & (np.abs(x) < 1e10)]
+    bits = weight = 0.0
+    if len(good):
+        bits = _bin_entropy(good)
+        weight = sum(map(bool, (-0.1 < good.mean() < 0.1, 0.01 < good.std() < 2.0, np.percentile(good, 95) < 3.0))) / 3
+    if len(x) < 4:
+        return len(good) / len(x), bits, weight, 0.0
+    plausible = ((good == 0) | (np.abs(good) > 1e-10)).sum() / len(x)
+    some = x[:250:2]
+    some = some[np.isfinite(some) & (np.abs(some) < 1e6)]
+    shape = 0.0
+    if len(some) >= 10:
+        shape = 0.3 * (np.abs(some - some.mean()) <= 3 * some.std()).mean() + 0.1 * (np.abs(some) <= 10).mean()
+    return len(good) / len(x), bits, weight, 0.4 * plausible + shape + 0.2 * min(file_size / (100 << 20), 1.0)
+
+
+def float_statistics(rows: DataFrame, key: str, vector: str, file_size: str) -> DataFrame:
+    """key, ratio, entropy (of 50 bins), weight, confidence: how much numbers look like weights, one narrow pass.
+
+    ratio: the share below 1e10. weight: which of three marks of weights hold.
+    confidence: plausible floats, values within three deviations and within ten,
+    and the size of the file; above 0.6 they are taken for weights.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = [_float_row(np.asarray(v, float), s) for v, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], pa.float64()) for i in range(4))], names=["k", "ratio", "entropy", "weight", "confidence"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key).alias("k"), F.coalesce(vector, F.array()).alias("v"), F.col(file_size).cast("double").alias("s")).mapInArrow(run, f"k {kind}, ratio double, entropy double, weight double, confidence double").withColumnRenamed("k", key)
+
+
+def floats_of(content: bytes) -> np.ndarray:
+    """Bytes as little-endian 32-bit floats; what is left over doesn't count."""
+    return np.frombuffer(content[: len(content) // 4 * 4], "<f4").astype(float)
+
+
+def pattern_density(n: Column, length: Column) -> Column:
+    """Patterns a megabyte."""
+    return F.when(length > 0, n / (length / float(1 << 20))).otherwise(0.0)
+
+
+def expected_patterns(length: Column) -> Column:
+    """How many places of random bytes have given three bytes."""
+    return F.when(length < 3, 0.0).otherwise(F.greatest(length - 2, F.lit(1)) / float(256**3))
+
+
+def coincidental(signature: Column, offset: Column, confidence: Column, density: Column, n: Column, expected: Column, file_size: Column) -> Column:
+    """Whether the mark of an executable within weights is chance."""
+    large = F.least(file_size / (100 << 20), F.lit(1.0)) > 0.5
+    times = F.when(large, 10 + (confidence - 0.6) * 25).otherwise(5 + (confidence - 0.6) * 12.5)
+    script = ((confidence > 0.6) & ((n <= expected * times) | (density < 2))) | ((confidence > 0.5) & ((density < 1) | (density > 100)))
+    return (
+        F.when(signature == "MZ", (offset > 100) & ((confidence > 0.3) | (density < 5)))
+        .when(signature == "#!/", script)
+        .when(offset < 1024, False)
+        .when(signature == "ELF", (confidence > 0.8) & (density > 50))
+        .otherwise(False)
+    )
 
 
 def profile(values: DataFrame, group: str, value: str) -> DataFrame:
@@ -43,46 +178,195 @@ def profile(values: DataFrame, group: str, value: str) -> DataFrame:
         F.min(v).alias("low"),
         F.max(v).alias("high"),
         F.percentile(v, F.array(*[F.lit(x) for x in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)])).alias("percentiles"),
+        F.skewness(v).alias("skewness"),
         F.kurtosis(v).alias("kurtosis"),
-        F.avg((F.abs(v) < 1e-8).cast("double")).alias("sparsity"),
+        F.avg((F.abs(v) < 1e-8).cast("double")).alias("zero_ratio"),
+        F.avg((v == 0).cast("double")).alias("sparsity"),
     )
 
 
+def histogram_entropy(values: DataFrame, group: str, value: str, bins: int = 50) -> DataFrame:
+    """group, entropy of equal bins between the least and greatest value: two aggregations with partial results."""
+    ends = values.groupBy(F.col(group).alias("of")).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    bin_ = F.when(F.col("high") == F.col("low"), bins // 2).otherwise(F.least(F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)))
+    counts = values.join(ends, F.col(group) == F.col("of")).groupBy(group, bin_.alias("bin")).agg(F.count("*").alias("k"))
+    sums = counts.groupBy(group).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log2("k")).alias("s"))
+    return sums.select(group, (F.log2("n") - F.col("s") / F.col("n")).alias("entropy"))
+
+
+def layer_type(name: Column, rank: Column) -> Column:
+    """The type of a layer by its name, else by the rank of its shape."""
+    low, out = F.lower(name), F
+    for kind, words in LAYER_WORDS:
+        out = out.when(any_of(low, words), F.lit(kind))
+    return out.when(rank == 4, "conv2d_weights").otherwise("dense_weights")
+
+
+#: Words of layer names by type, in order.
+LAYER_WORDS = [
+    ("conv2d_weights", ["conv", "convolution"]),
+    ("dense_weights", ["dense", "linear", "fc"]),
+    ("attention_weights", ["attention", "attn", "query", "key", "value"]),
+    ("embedding_weights", ["embedding", "embed"]),
+    ("batch_norm_weights", ["batch_norm", "bn", "batchnorm"]),
+]
+
+
+def profile_distance(kind: Column, mean: Column, std: Column, low: Column, high: Column, skewness: Column, kurtosis: Column, sparsity: Column) -> Column:
+    """The mean of six differences between a layer's profile and that expected of its type; beyond 3 it is anomalous."""
+    out = F
+    for name, (m, s, a, b, skew, kurt, sparse) in T.LAYER_PROFILES.items():
+        ratio = std / s
+        parts = [F.abs(mean - m) / s, F.when(ratio > 0, F.abs(F.log(ratio))).otherwise(3.0), F.abs((high - low) - (b - a)) / (b - a), F.abs(skewness - skew), F.abs(kurtosis - kurt) / 10.0, F.abs(sparsity - sparse) * 10.0]
+        out = out.when(kind == name, sum(parts[1:], parts[0]) / 6)
+    return out
+
+
+def repeating(values: DataFrame, group: str, order: str, value: str, n: int = 1000) -> DataFrame:
+    """group, n_peaks: lags of 10 to 99 at which the first ``n`` values of a group resemble themselves by more than 0.8. Groups with fewer values are left out."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    first = values.withColumn("i_", place - 1).where(F.col("i_") < n).select(group, "i_", F.col(value).cast("double").alias("v_"))
+    listed = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("i_", "v_"))).alias("l")).where(F.size("l") >= n)
+    v = F.transform("l", lambda x: x["v_"])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    power = dot(v, v)
+    lags = F.filter(F.sequence(F.lit(10), F.lit(99)), lambda k: dot(F.slice(v, 1, n - k), F.slice(v, k + 1, n - k)) / power > 0.8)
+    return listed.select(group, F.size(lags).alias("n_peaks"))
+
+
+def benford(values: DataFrame, group: str, order: str, value: str, n: int = 1000) -> DataFrame:
+    """group, chi2: how far the first digits of a group's first ``n`` values other than 0 are from the logarithmic law. Groups with no more are left out."""
+    nonzero = values.where((F.col(value) != 0) & ~F.isnan(value))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    size = F.count("*").over(Window.partitionBy(group))
+    first = nonzero.withColumns({"i_": place, "n_": size}).where((F.col("i_") <= n) & (F.col("n_") > n))
+    digit = F.regexp_extract(F.format_string("%.10e", F.abs(F.col(value).cast("double"))), "([1-9])", 1).cast("int")
+    counts = first.groupBy(group).agg(*[F.count_if(digit == d).alias(f"d{d}") for d in range(1, 10)], F.count("*").alias("n"))
+    expected = {d: math.log10(1 + 1 / d) for d in range(1, 10)}
+    parts = [F.pow(F.col(f"d{d}") / F.col("n") - expected[d], 2) / expected[d] for d in range(1, 10)]
+    return counts.select(group, sum(parts[1:], parts[0]).alias("chi2"))
+
+
+#: Dimensions of transformers, sizes of vocabularies.
+TRANSFORMER_DIMS = [64, 128, 256, 384, 512, 768, 1024, 1536, 2048, 3072, 4096, 8192]
+VOCABULARIES = [30522, 50257, 32000, 28996, 51200, 65536, 100000]
+
+
+def architecture(layers: DataFrame, model: str, rows: str, columns: str) -> DataFrame:
+    """model, matching_dims, vocabularies, repeated_dims, parameters, confidence, is_llm, is_transformer: what the shapes of a model's matrices tell."""
+    dim = lambda d: d.isin(*TRANSFORMER_DIMS) | F.exists(F.array(*[F.lit(t) for t in TRANSFORMER_DIMS]), lambda t: (d % t == 0) & (d / t <= 16))
+    vocabulary = F.exists(F.array(*[F.lit(v) for v in VOCABULARIES]), lambda v: F.abs(F.col(columns) - v) < v * 0.05)
+    each = layers.select(model, F.explode(F.array(rows, columns)).alias("dim_")).groupBy(model, "dim_").agg(F.count("*").alias("k_"))
+    repeated = each.groupBy(F.col(model).alias("of")).agg(F.count_if(F.col("k_") >= 3).alias("repeated_dims"))
+    sums = layers.groupBy(model).agg(
+        F.sum(dim(F.col(rows)).cast("int") + dim(F.col(columns)).cast("int")).alias("matching_dims"),
+        F.count_if(vocabulary).alias("vocabularies"),
+        F.sum(F.col(rows) * F.col(columns)).alias("parameters"),
+        F.count("*").alias("n_"),
+        F.max(F.greatest(rows, columns)).alias("greatest_"),
+    )
+    out = sums.join(repeated, F.col(model) == F.col("of"))
+    likely = F.col("matching_dims") > F.col("n_") * 0.6
+    confidence = F.when(likely, 0.3).otherwise(0.0) + F.when(F.col("greatest_") >= 768, 0.2).otherwise(0.0) + F.when(F.col("repeated_dims") > 0, 0.2).otherwise(0.0)
+    confidence = confidence + F.when(F.col("parameters") > 100_000_000, 0.3).when(F.col("parameters") > 10_000_000, 0.2).otherwise(0.0)
+    sure = (F.col("confidence") > 0.7) & ((F.col("vocabularies") > 0) | (F.col("parameters") > 50_000_000))
+    out = out.withColumn("confidence", F.round(confidence, 6))
+    return out.select(model, "matching_dims", "vocabularies", "repeated_dims", "parameters", "confidence", ((F.col("parameters") > 100_000_000) | sure).alias("is_llm"), (likely | (~sure & (F.col("confidence") > 0.5))).alias("is_transformer"))
+
+
+def framework_vote(call: Column, stack: Column, file: Column) -> Column:
+    """The framework with the most votes: two for each pattern in the call, one for each match on the stack, half of one for each in the file; the first of equal ones."""
+    votes = []
+    for name, patterns in T.FRAMEWORK_VOTES.items():
+        of = F.lit(0.0)
+        for p in patterns:
+            many = [F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?i){p}"), F.lit(0))) for text in (stack, file)]
+            of = of + F.when(F.coalesce(call, F.lit("")).rlike(f"(?i){p}"), 2).otherwise(0) + many[0] + 0.5 * many[1]
+        votes.append(F.struct(of.alias("votes"), F.lit(name).alias("framework")))
+    start = F.struct(F.lit(0.0).alias("votes"), F.lit("unknown").alias("framework"))
+    return F.aggregate(F.array(*votes), start, lambda a, x: F.when(x["votes"] > a["votes"], x).otherwise(a))["framework"]
+
+
 def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def norm_outliers(vectors: DataFrame, layer: str, neuron: str, vector: str, limit: float = 3.0) -> DataFrame:
-    """layer, neuron, norm, z of the vectors whose norm is more than ``limit`` deviations off its layer's mean."""
-    norms = vectors.select(layer, neuron, norm(F.col(vector)).alias("norm"))
-    sums = norms.groupBy(layer).agg(F.avg("norm").alias("mean"), F.stddev_pop("norm").alias("std")).withColumnRenamed(layer, "of_layer")
+def outlier_limits(rows: Column, columns: Column, is_llm: Column, limit: float = 3.0) -> tuple[Column, Column]:
+    """How many deviations off a norm is an outlier, and up to which share of outliers they are told: by the size of a layer."""
+    large = (columns > 10_000) | (rows > 2048) | (rows * columns > 10_000_000)
+    return F.when(is_llm, max(8.0, limit * 2.5)).when(large, max(6.0, limit * 1.8)).otherwise(limit), F.when(is_llm, 0.0001).when(large, 0.001).otherwise(0.01)
+
+
+def norm_outliers(vectors: DataFrame, layer: str, neuron: str, vector: str, limit: float = 3.0, share: float | None = None, is_llm: bool = False) -> DataFrame:
+    """layer, neuron, norm, z of the vectors whose norm is far off its layer's mean, in layers where these are few.
+
+    ``share``: the greatest share of outliers that is told; by default it follows from the layer's size.
+    """
+    norms = vectors.select(layer, neuron, norm(F.col(vector)).alias("norm"), F.size(vector).alias("width_"))
+    sums = norms.groupBy(layer).agg(F.avg("norm").alias("mean"), F.stddev_pop("norm").alias("std"), F.count("*").alias("n_"), F.max("width_").alias("rows_")).withColumnRenamed(layer, "of_layer")
     z = (F.col("norm") - F.col("mean")) / F.col("std")
-    out = norms.join(sums, F.col(layer) == F.col("of_layer")).withColumn("z", z)
-    return out.where(F.abs("z") > limit).select(layer, neuron, "norm", "z")
+    most, few = outlier_limits(F.col("rows_"), F.col("n_"), F.lit(is_llm), limit)
+    out = norms.join(sums, F.col(layer) == F.col("of_layer")).withColumns({"z": z, "few_": few if share is None else F.lit(share)}).where(F.abs("z") > most)
+    counts = out.groupBy(layer).agg((F.count("*") / F.max("n_") < F.max("few_")).alias("told_")).where("told_").select(F.col(layer).alias("t_layer"))
+    return out.join(counts, F.col(layer) == F.col("t_layer"), "left_semi").select(layer, neuron, "norm", "z")
 
 
-def extreme_weights(vectors: DataFrame, layer: str, neuron: str, vector: str, deviations: float = 3.0) -> DataFrame:
-    """layer, n_extreme, n_neurons: weights beyond the mean and ``deviations`` of the absolute weights."""
+def extreme_weights(vectors: DataFrame, layer: str, neuron: str, vector: str, deviations: float = 3.0, most: int = 5) -> DataFrame:
+    """layer, n_extreme, n_neurons: weights beyond the mean and ``deviations`` of the absolute weights, in layers where they are in few neurons (``most``, or a thousandth)."""
     each = vectors.select(layer, neuron, F.explode(F.transform(vector, lambda x: F.abs(x.cast("double")))).alias("w"))
     sums = each.groupBy(layer).agg((F.avg("w") + deviations * F.stddev_pop("w")).alias("limit")).withColumnRenamed(layer, "of_layer")
-    return each.join(sums, F.col(layer) == F.col("of_layer")).where("w > limit").groupBy(layer).agg(F.count("*").alias("n_extreme"), F.count_distinct(neuron).alias("n_neurons"))
+    sizes = vectors.groupBy(F.col(layer).alias("s_layer")).agg(F.greatest(F.lit(most), F.floor(F.count("*") * 0.001)).alias("most_"))
+    out = each.join(sums, F.col(layer) == F.col("of_layer")).where("w > limit").groupBy(layer).agg(F.count("*").alias("n_extreme"), F.count_distinct(neuron).alias("n_neurons"))
+    return out.join(sizes, F.col(layer) == F.col("s_layer")).where("n_neurons <= most_").select(layer, "n_extreme", "n_neurons")
 
 
 def mean_cosine(vectors: DataFrame, layer: str, neuron: str, vector: str) -> DataFrame:
     """layer, neuron, similarity: the mean cosine of each vector with the others of its layer.
 
     The mean over pairs needs no pairs: it is the product with the sum of the
-    layer's unit vectors, less the vector's own part.
+    layer's unit vectors, less the vector's own part. The sum is made of one
+    partial vector a task and layer, so no component becomes a row.
     """
+    fields = vectors.select(layer).schema[layer].dataType.simpleString()
+
+    def partial(batches):
+        sums, counts, kind = {}, {}, None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.asarray(value, float)
+                x = x / np.linalg.norm(x)
+                sums[key] = sums[key] + x if key in sums else x
+                counts[key] = counts.get(key, 0) + 1
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64())), pa.array(list(counts.values()), pa.int64())], names=["of_layer", "s", "n"])
+
+    parts = vectors.select(layer, vector).mapInArrow(partial, f"of_layer {fields}, s array<double>, n long")
+    total = parts.groupBy("of_layer").agg(F.collect_list("s").alias("l"), F.sum("n").alias("n"))  # one vector a task
+    total = total.select("of_layer", "n", F.aggregate("l", F.transform(F.get("l", F.lit(0)), lambda x: F.lit(0.0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y)).alias("total"))
     unit = vectors.select(layer, neuron, F.transform(vector, lambda x: x.cast("double") / norm(F.col(vector))).alias("unit"))
-    at = unit.select(layer, F.posexplode("unit").alias("i", "x")).groupBy(layer, "i").agg(F.sum("x").alias("x"))
-    total = at.groupBy(F.col(layer).alias("of_layer")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("total"))
-    n = vectors.groupBy(F.col(layer).alias("n_layer")).agg(F.count("*").alias("n"))
     dot = F.aggregate(F.zip_with("unit", "total", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    out = unit.join(total, F.col(layer) == F.col("of_layer")).join(n, F.col(layer) == F.col("n_layer"))
+    out = unit.join(total, F.col(layer) == F.col("of_layer"))
     return out.select(layer, neuron, ((dot - 1) / (F.col("n") - 1)).alias("similarity")).where("similarity is not null")
 
 
+#: Weights of the signals that are put together.
+SIGNALS = {"ml_context": 0.25, "entropy_analysis": 0.15, "semantic_analysis": 0.20, "anomaly_detection": 0.15, "framework_patterns": 0.20, "code_validation": 0.05}
+
+
+def risk_level(score: Column, semantic: Column, anomaly: Column) -> Column:
+    """The level of 1 less the score; bad semantics and anomalies set a floor."""
+    risk = F.greatest(1.0 - score, F.when(semantic < 0.3, 0.7).otherwise(0.0), F.when(anomaly < 0.3, 0.6).otherwise(0.0))
+    return F.when(risk < 0.2, "safe").when(risk < 0.4, "low").when(risk < 0.6, "medium").when(risk < 0.8, "high").otherwise("critical")
+
+
+def context_risk(factors: Column, has_weights: Column, known_architecture: Column, framework: Column) -> Column:
+    """The sum of risk factors, less for weights, a known architecture and a common framework; 1 at most."""
+    base = F.aggregate(factors, F.lit(0.0), lambda a, x: a + x)
+    base = base * F.when(has_weights, 0.7).otherwise(1.0) * F.when(known_architecture, 0.8).otherwise(1.0) * F.when(framework.isin("pytorch", "tensorflow", "keras"), 0.9).otherwise(1.0)
+    return F.least(base, F.lit(1.0))
+
+
 def weighted_signals(signals: dict[str, Column], weights: dict[str, float]) -> Column:
     """Weighted mean of the signals that are there."""
     up = sum((F.coalesce(c, F.lit(0.0)) * weights[k] for k, c in signals.items()), F.lit(0.0))
@@ -105,8 +389,21 @@ def running_limit(files: DataFrame, size: str, order: str, limit: int) -> DataFr
     return out.withColumn("total_before", F.col("base") + F.col("inner_")).where(F.col("total_before") <= limit).drop("range_", "of_range", "base", "inner_")
 
 
+RANGE = 512
+
+
 def decayed_mean(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """key, mean: the first value, then 0.9 of the mean and 0.1 of the next. One key's values are folded in order."""
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v")))).alias("l"))
-    rest = F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))
-    return listed.select(key, F.aggregate(rest, F.get("l", 0)["v"], lambda a, x: a * 0.9 + x["v"] * 0.1).alias("mean"))
+    """key, mean: the first value, then 0.9 of the mean and 0.1 of the next.
+
+    A stretch of values turns a mean m into a * m + b, and stretches follow one
+    another as these pairs do. So each range of RANGE rows of a key is folded for
+    itself, and one pair a range is left to be put in order.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    placed = rows.select(key, place.alias("i_"), F.col(value).cast("double").alias("v_"))
+    listed = placed.groupBy(key, F.floor(F.col("i_") / RANGE).alias("part_")).agg(F.array_sort(F.collect_list(F.struct("i_", "v_"))).alias("l"))
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    fold = F.aggregate("l", start, lambda s, x: F.when(x["i_"] == 0, pair(F.lit(0.0), x["v_"])).otherwise(pair(s["a"] * 0.9, s["b"] * 0.9 + x["v_"] * 0.1)))
+    parts = listed.select(key, "part_", fold.alias("f")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part_", "f"))).alias("p"))
+    return parts.select(key, F.aggregate("p", F.lit(0.0), lambda m, x: x["f"]["a"] * m + x["f"]["b"]).alias("mean"))
