@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Severities, the lowest first; configured rule severities and what they become.
@@ -165,3 +165,41 @@ def exit_code(issues: DataFrame, files_scanned: Column, has_errors: Column) -> D
     """2 for operational errors or no files, 1 for warnings or worse, else 0."""
     bad = issues.agg(F.count_if(rank(F.col("severity")) >= 2).alias("bad"))
     return bad.select(F.when(has_errors | (files_scanned == 0), 2).when(F.col("bad") > 0, 1).otherwise(0).alias("exit_code"))
+
+
+def summaries(findings: DataFrame, asset: str, seq: str, message: str, first: int = 10, clip: int = 200) -> DataFrame:
+    """asset, total, first_findings: how many findings an asset has and the first of them, clipped, joined by "; ".
+
+    Only the first of each task reach the aggregation that puts them in order.
+    """
+    totals = findings.groupBy(F.col(asset).alias("of")).agg(F.count("*").alias("total"))
+    place = F.row_number().over(Window.partitionBy(asset).orderBy(seq))
+    some = findings.withColumn("n_", place).where(F.col("n_") <= first)
+    text = F.when(F.length(message) > clip, F.concat(F.left(message, F.lit(clip)), F.lit("..."))).otherwise(F.col(message))
+    listed = some.groupBy(asset).agg(F.array_sort(F.collect_list(F.struct("n_", text.alias("m")))).alias("l"))
+    return listed.join(totals, F.col(asset) == F.col("of")).select(asset, "total", F.array_join(F.transform("l", lambda x: x["m"]), "; ").alias("first_findings"))
+
+
+def merged(*results: DataFrame) -> DataFrame:
+    """Partial results as one: what a part lacks is null."""
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out
+
+
+def ordered_distinct(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """key, names: the distinct names of each key in the order of their first row."""
+    first = rows.groupBy(key, name).agg(F.min(order).alias("first_"))
+    listed = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first_", F.col(name).alias("n")))).alias("l"))
+    return listed.select(key, F.transform("l", lambda x: x["n"]).alias("names"))
+
+
+def license_rollup(licenses: DataFrame, spdx: DataFrame, group: str, file: str, first: int = 5) -> DataFrame:
+    """group, kind, n_files, first_files: files by what their licences ask for. licenses: file, spdx_id, commercial_allowed; spdx: id, is_deprecated, is_osi (a dimension table, joined by key)."""
+    rows = licenses.join(spdx, F.col("spdx_id") == F.col("id"), "left")
+    named = lambda w: F.contains("spdx_id", F.lit(w))
+    kinds = {"agpl": named("AGPL"), "non_commercial": ~F.col("commercial_allowed"), "copyleft": named("GPL-") | named("AGPL-"), "deprecated": F.coalesce("is_deprecated", F.lit(False)), "not_approved": ~F.coalesce("is_osi", F.lit(True))}
+    each = rows.select(group, F.col(file).alias("f_"), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))).alias("kind")).distinct()
+    place = F.row_number().over(Window.partitionBy(group, "kind").orderBy("f_"))
+    return each.withColumn("n_", place).groupBy(group, "kind").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list(F.when(F.col("n_") <= first, F.col("f_")))).alias("first_files"))

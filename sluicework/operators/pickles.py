@@ -20,10 +20,10 @@ DECODERS = ["base64", "codecs", "binascii"]
 BASE_THRESHOLD = 50
 
 
-def _check(name: str, status: Column | str, severity: Column | str | None, message: Column, rule: Column | None = None) -> Column:
+def _check(name: Column | str, status: Column | str, severity: Column | str | None, message: Column, rule: Column | None = None) -> Column:
     as_column = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x
     return F.struct(
-        F.lit(name).alias("name"),
+        as_column(name).alias("name"),
         as_column(status).alias("status"),
         as_column(severity).alias("severity"),
         message.alias("message"),
@@ -32,34 +32,39 @@ def _check(name: str, status: Column | str, severity: Column | str | None, messa
 
 
 def call_verdicts(ops: DataFrame, safe: Sequence[str] = V.SAFE_GLOBALS) -> DataFrame:
-    """``ops`` with checks: what each opcode alone gives rise to. One projection, one pass."""
-    m, f, cm, cf = (F.col(c) for c in ("module", "function", "called_module", "called_function"))
+    """``ops`` with checks: what each opcode alone gives rise to. One pass; verdicts are columns of a first projection, so each is worked out once."""
+    m, f, cm, cf, name = (F.col(c) for c in ("module", "function", "called_module", "called_function", "name"))
+    strings = ["STRING", "BINSTRING", "SHORT_BINSTRING", "UNICODE", "BINUNICODE", "SHORT_BINUNICODE", "BINUNICODE8"]
+    verdicts = {
+        "bad_": F.when(m.isNotNull(), V.dangerous_global(m, f, safe)),
+        "called_bad_": F.when(cm.isNotNull(), V.dangerous_global(cm, cf, safe)),
+        "called_safe_": V.is_safe(cm, cf, safe),
+        "pattern_": F.when(name.isin(*strings), V.suspicious_string(F.col("arg"))),
+        "import_rule_": F.when(m.isNotNull(), V.import_rule(m, f)),
+    }
+    rows = ops.withColumns(verdicts)
+    rows = rows.withColumn("string_rule_", F.when(F.col("pattern_").isNotNull(), V.mapped_rule(F.col("arg"))))
     ref, called = F.concat(m, F.lit("."), f), F.concat(cm, F.lit("."), cf)
-    bad = V.dangerous_global(m, f, safe)
     severity = F.when(m.isin(*T.WARNING_MODULES), "warning").otherwise("critical")
-    name = F.col("name")
     reference = F.when(
         name.isin("GLOBAL", "STACK_GLOBAL", "INST", "EXT1", "EXT2", "EXT4") & m.isNotNull(),
-        F.when(bad, _check("Global Module Reference Check", "failed", severity, F.concat(F.lit("Suspicious reference "), ref), F.coalesce(V.import_rule(m, f), V.opcode_rule(name)))).otherwise(
+        F.when(F.col("bad_"), _check("Global Module Reference Check", "failed", severity, F.concat(F.lit("Suspicious reference "), ref), F.coalesce("import_rule_", V.opcode_rule(name)))).otherwise(
             _check("Global Module Reference Check", "passed", None, F.concat(F.lit("Safe global reference validated: "), ref))
         ),
     )
-    label = F.concat(name, F.lit(" opcode"))
-    kind = F.concat(name, F.lit(" Opcode Safety Check"))
+    label, kind = F.concat(name, F.lit(" opcode")), F.concat(name, F.lit(" Opcode Safety Check"))
     call = F.when(
         name.isin("REDUCE", "INST", "OBJ", "NEWOBJ", "NEWOBJ_EX") & cm.isNotNull(),
-        F.when(V.is_safe(cm, cf, safe), _check("", "passed", "info", F.concat(label, F.lit(" with safe ML framework global: "), called)))
-        .when(V.dangerous_global(cm, cf, safe), _check("", "failed", "critical", F.concat(label, F.lit(" with non-allowlisted global: "), called), V.opcode_rule(name)))
-        .when(~V.plausible_module(cm), _check("", "passed", "info", F.concat(label, F.lit(" with implausible module name '"), cm, F.lit("' (likely data, not a real import): "), called)))
-        .otherwise(_check("", "failed", "warning", F.concat(label, F.lit(" with non-allowlisted global: "), called), V.opcode_rule(name))),
+        F.when(F.col("called_safe_"), _check(kind, "passed", "info", F.concat(label, F.lit(" with safe ML framework global: "), called)))
+        .when(F.col("called_bad_"), _check(kind, "failed", "critical", F.concat(label, F.lit(" with non-allowlisted global: "), called), V.opcode_rule(name)))
+        .when(~V.plausible_module(cm), _check(kind, "passed", "info", F.concat(label, F.lit(" with implausible module name '"), cm, F.lit("' (likely data, not a real import): "), called)))
+        .otherwise(_check(kind, "failed", "warning", F.concat(label, F.lit(" with non-allowlisted global: "), called), V.opcode_rule(name))),
     )
-    call = F.when(call.isNotNull(), call.withField("name", kind))
-    pattern = F.when(name.isin("STRING", "BINSTRING", "SHORT_BINSTRING", "UNICODE", "BINUNICODE", "SHORT_BINUNICODE", "BINUNICODE8"), V.suspicious_string(F.col("arg")))
-    rule = F.when(F.contains("arg", F.lit("subprocess")), "S103").when(F.contains("arg", F.lit("__import__")), "S106").when(F.contains("arg", F.lit("compile")), "S105").otherwise(V.mapped_rule(F.col("arg")))
-    string = F.when(pattern.isNotNull(), _check("String Pattern Security Check", "failed", "warning", F.concat(F.lit("Suspicious string pattern: "), pattern), rule))
+    rule = F.when(F.contains("arg", F.lit("subprocess")), "S103").when(F.contains("arg", F.lit("__import__")), "S106").when(F.contains("arg", F.lit("compile")), "S105").otherwise(F.col("string_rule_"))
+    string = F.when(F.col("pattern_").isNotNull(), _check("String Pattern Security Check", "failed", "warning", F.concat(F.lit("Suspicious string pattern: "), "pattern_"), rule))
     nested = F.when(F.col("nested"), _check("Nested Pickle Detection", "failed", "critical", F.lit("Nested pickle payload detected"), F.lit("S213")))
     broken = F.when(F.col("error").isNotNull(), _check("Pickle Parse Check", "failed", "warning", F.col("error"), F.lit("S902")))
-    return ops.withColumn("checks", F.array_compact(F.array(reference, call, string, nested, broken)))
+    return rows.withColumn("checks", F.array_compact(F.array(reference, call, string, nested, broken))).drop(*verdicts, "string_rule_")
 
 
 def counted(ops: DataFrame, safe: Sequence[str] = V.SAFE_GLOBALS) -> Column:

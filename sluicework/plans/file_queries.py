@@ -418,29 +418,41 @@ def signal_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WEIGHT = "CASE severity WHEN 'critical' THEN 5 WHEN 'warning' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
-_LEVEL = "CASE severity WHEN 'critical' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END"
+_LEVEL = "CASE severity WHEN 'critical' THEN 'error' WHEN 'info' THEN 'note' WHEN 'debug' THEN 'none' ELSE 'warning' END"
+_RANK = "CASE severity WHEN 'critical' THEN 90 WHEN 'warning' THEN 60 WHEN 'info' THEN 30 WHEN 'debug' THEN 10 ELSE 50 END::DOUBLE"
+_WORDS = ["pickle", "import: os", "eval network", "secret", "CVE license", "plain"]
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks(spark, sf_dir).where("status = 'failed' and severity is not null").withColumn("asset", asset_of(F.col("location")))
+    word = F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (F.col("seq") % len(_WORDS) + 1).cast("int"))
+    rows = checks(spark, sf_dir).where("status = 'failed' and severity is not null").withColumn("message", F.concat("message", F.lit(" "), word))
+    return rows.withColumns({"asset": asset_of(F.col("location")), "type": F.when(F.col("seq") % 5 == 0, F.concat("name", F.lit(" kind_x")))})
 
 
-@_add(f"""WITH {CHECKS}, i AS (SELECT *, coalesce(rule_code, 'unknown') AS rule_id FROM checks WHERE status = 'failed' AND severity IS NOT NULL),
-r AS (SELECT rule_id, (row_number() OVER (ORDER BY min(seq)) - 1)::INT AS rule_index FROM i GROUP BY rule_id)
-SELECT seq, rule_id, rule_index, {_LEVEL} AS level, message, sha256(message || location || severity) AS fingerprint FROM i JOIN r USING (rule_id)""")
+_ISSUES = f"""{CHECKS}, i0 AS (SELECT seq, name, severity, location, why, rule_code, message || ' ' || ([{', '.join(map(quoted, _WORDS))}])[(seq % {len(_WORDS)} + 1)::INT] AS message, CASE WHEN seq % 5 = 0 THEN name || ' kind_x' END AS type FROM checks WHERE status = 'failed' AND severity IS NOT NULL),
+i AS (SELECT *, CASE WHEN type IS NOT NULL THEN 'MA' || upper(replace(type, ' ', '-')) ELSE 'MA-' || regexp_replace(upper(replace(replace(left(message, 30), ' ', '-'), ':', '')), '[^\\p{{L}}\\p{{N}}-]', '', 'g') END AS rule_id FROM i0)"""
+
+
+@_add(f"""WITH {_ISSUES} SELECT seq, rule_id, {_LEVEL} AS level, {_RANK} AS rank, CASE WHEN severity IN ('critical', 'warning') THEN 'fail' ELSE 'informational' END AS kind, message,
+replace(replace(replace(replace(location, ' ', '%20'), '(', '%28'), ')', '%29'), ':', '%3A') AS uri, left(sha256(message || location || severity), 16) AS fingerprint FROM i""")
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.sarif_results(_issues(spark, sf_dir)).drop("uri")
+    return reports.sarif_results(_issues(spark, sf_dir))
+
+
+_SHORT = "CASE WHEN contains(low, 'pickle') THEN 'Potentially unsafe pickle operation detected' WHEN contains(low, 'import') THEN 'Dangerous import statement found' WHEN contains(low, 'exec') OR contains(low, 'eval') THEN 'Code execution vulnerability' WHEN contains(low, 'network') THEN 'Network communication detected' WHEN contains(low, 'secret') OR contains(low, 'key') THEN 'Potential secrets or keys exposed' WHEN contains(low, 'license') THEN 'License compliance issue' WHEN contains(low, 'blacklist') THEN 'Blacklisted model name detected' ELSE left(message, 100) END"
+_TAGS = "'security,ml-model' || CASE WHEN contains(low, 'pickle') THEN ',pickle,deserialization' ELSE '' END || CASE WHEN contains(low, 'import') OR contains(low, 'exec') OR contains(low, 'eval') THEN ',code-execution' ELSE '' END || CASE WHEN contains(low, 'network') THEN ',network' ELSE '' END || CASE WHEN contains(low, 'secret') OR contains(low, 'key') THEN ',secrets' ELSE '' END || CASE WHEN contains(low, 'license') THEN ',license' ELSE '' END || CASE WHEN contains(low, 'cve') THEN ',vulnerability' ELSE '' END"
 
 
-@_add(f"""WITH {CHECKS}, i AS (SELECT *, coalesce(rule_code, 'unknown') AS rule_id FROM checks WHERE status = 'failed' AND severity IS NOT NULL)
-SELECT (row_number() OVER (ORDER BY min(seq)) - 1)::INT AS rule_index, rule_id, arg_min(message, seq) AS text FROM i GROUP BY rule_id""")
+@_add(f"""WITH {_ISSUES}, f AS (SELECT *, lower(message) AS low FROM i QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY seq) = 1)
+SELECT seq, rule_id, CASE WHEN type IS NOT NULL THEN upper(left(name, 1)) || substring(name, 2) || ' Kind X' WHEN contains(message, ':') THEN split_part(message, ':', 1) ELSE left(message, 50) END AS name,
+{_SHORT} AS short, {_SHORT} || coalesce(' ' || why, '') AS "full", {_LEVEL} AS level, {_RANK} AS rank, {_TAGS} AS tags FROM f""")
 def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.sarif_rules(_issues(spark, sf_dir))
+    return reports.sarif_rules(_issues(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))
 
 
 @_add(f"""WITH {CHECKS}, k AS (SELECT asset, least(sum({_WEIGHT}), 10)::BIGINT AS risk FROM assets WHERE status = 'failed' AND severity IS NOT NULL GROUP BY asset),
-f AS (SELECT '/models/' || doc_id || '.pkl' AS path, n_chars AS size FROM documents)
-SELECT path, size, coalesce(risk, 0)::BIGINT AS risk, '{{"size":' || size || ',"risk":' || coalesce(risk, 0) || '}}' AS properties FROM f LEFT JOIN k ON path = asset""")
+f AS (SELECT '/models/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.zip' ELSE '.pkl' END AS path, n_chars AS size FROM documents)
+SELECT path, CASE WHEN ends_with(path, '.zip') THEN 'container' ELSE 'machine-learning-model' END AS type, size, coalesce(risk, 0)::BIGINT AS risk, '{{"size":' || size || ',"risk":' || coalesce(risk, 0) || '}}' AS properties FROM f LEFT JOIN k ON path = asset""")
 def sbom_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("/models/"), F.col("doc_id").cast("string"), F.lit(".pkl")).alias("path"), F.col("n_chars").alias("size"))
-    return reports.components(files, _issues(spark, sf_dir)).select("path", "size", "risk", "properties")
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("/models/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 0, ".zip").otherwise(".pkl")).alias("path"), F.col("n_chars").alias("size"))
+    return reports.components(files, _issues(spark, sf_dir)).select("path", "type", "size", "risk", "properties")

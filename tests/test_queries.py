@@ -6,10 +6,9 @@ import os
 import duckdb
 import pytest
 
-from sluicework.plans import check_queries, config_queries, file_queries, score_queries, statistics_queries, text_queries
+from sluicework.plans import MODULES
 
 SF_DIR = "/root/testdata/sf0.001"
-MODULES = (text_queries, check_queries, statistics_queries, file_queries, config_queries, score_queries)
 QUERIES = {n: (f, m.SQL.get(n)) for m in MODULES for n, f in m.QUERIES.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
