@@ -47,7 +47,7 @@ def glob_regex(glob: str) -> str:
             i = end + 1
         else:
             out += re.escape(c)
-    return f"(?s)^{out}$"
+    return rf"(?s)^{out}(?![\s\S])"
 
 
 def apply_policy(findings: DataFrame, suppressions: DataFrame | None = None, overrides: DataFrame | None = None, whitelist: DataFrame | None = None) -> DataFrame:
