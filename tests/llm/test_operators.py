@@ -514,6 +514,22 @@ def test_url_model_on_held_out_rows():
     assert right / len(rows) > 0.7, right / len(rows)
 
 
+def test_url_scores_by_brute_force(spark):
+    """The score is the logistic function of the summed weights of all n-grams, host and path each at unit length."""
+    weights, bias = url_filter.train(url_filter.labelled_table())
+    urls = ["http://Casino.test/bonus?x", "https://library.invalid/", "a://b", "x", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    for r in url_filter.judge(pages, ["page_id"]).collect():
+        total = bias
+        for kind, text in (("h", r.host), ("p", r.path)):
+            data = f"^{text}$".encode()
+            grams = [data[i : i + n] for n in (3, 4, 5) for i in range(len(data) - n + 1)] if text else []
+            total += sum(weights[zlib.crc32(kind.encode() + g) % url_filter.BUCKETS] for g in grams) / max(1, len(grams)) ** 0.5
+        expected = 1 / (1 + np.exp(-total))
+        assert abs(r.block_score - expected) < 1e-4
+        assert r.rule is not None or r.verdict == ("block" if r.host and expected >= 0.5 else "allow")
+
+
 def test_url_filter_repeats_and_clashes(spark):
     url = "http://a.test/" + "x/" * 30000
     pages = spark.createDataFrame([(1, url, "a", "b")] * 2 + [(2, None, "a", "b")], "page_id long, url string, host string, verdict string")
