@@ -47,7 +47,7 @@ from .textvec import EXACT, SECOND, SECOND_STEP, Runs, Texts, U, blocks, sliding
 
 WINDOW = 35  # words
 GRAM = 8  # words of an anchor
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def second(t: Texts) -> Runs:
