@@ -416,8 +416,16 @@ def suspicious_tensor_name(name: Column) -> Column:
 
 
 def ggml_bytes(kind: Column, elements: Column) -> Column:
-    """Bytes of a quantised tensor: blocks times bytes a block; null for an unknown kind or a part of a block."""
+    """Bytes of a quantised tensor: begun blocks times bytes a block; null for an unknown kind."""
     out = F
     for k, (block, size) in T.GGML_TYPES.items():
-        out = out.when((kind == k) & (elements % block == 0), F.try_multiply((elements / block).cast("long"), F.lit(size).cast("long")))
+        out = out.when(kind == k, F.try_multiply(F.ceil(elements / block).cast("long"), F.lit(size).cast("long")))
+    return out
+
+
+def ggml_aligned(kind: Column, elements: Column) -> Column:
+    """Whether the elements fill whole blocks; null for an unknown kind."""
+    out = F
+    for k, (block, _) in T.GGML_TYPES.items():
+        out = out.when(kind == k, elements % block == 0)
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -91,18 +92,21 @@ def cache_lookup(files: DataFrame, cache: DataFrame, key: str, now: Column) -> D
 
 def write_cache(results: DataFrame, path: str, key: str = "h") -> None:
     """Results by key under ``path``, in folders by the first two signs of the key; a folder that gets results keeps the newest of each key."""
-    spark, prefix = results.sparkSession, F.substring(key, 1, 2)
-    new = results.withColumn("prefix", prefix)
-    spark_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if spark_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark_path):
-        touched = new.select("prefix").distinct()
-        old = spark.read.parquet(path).join(touched, "prefix", "left_semi")
-        columns = [c for c in new.columns if c != key]
-        both = old.select(*new.columns).unionByName(new)
-        new = both.groupBy(key).agg(F.max_by(F.struct(*columns), "scanned_at").alias("r")).select(key, "r.*").select(*new.columns)
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.cache()
-        new.count()  # read before its folders are replaced
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(path)
+    spark = results.sparkSession
+    new = results.withColumn("prefix", F.substring(key, 1, 2))
+    files = spark._jvm.org.apache.hadoop.fs
+    place, staged = files.Path(path), f"{path}-staged-{uuid.uuid4().hex}"
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        new.write.partitionBy("prefix").parquet(path)
+        return
+    columns = [c for c in new.columns if c != key]
+    old = spark.read.parquet(path).join(new.select("prefix").distinct(), "prefix", "left_semi").select(*new.columns)
+    best = old.unionByName(new).groupBy(key).agg(F.max_by(F.struct(*columns), "scanned_at").alias("r"))
+    # written beside first: what is replaced must not be read again if an executor is lost
+    best.select(key, "r.*").select(*new.columns).write.parquet(staged)
+    spark.read.schema(new.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(path)
+    store.delete(files.Path(staged), True)
 
 
 def shard_groups(files: DataFrame) -> DataFrame:

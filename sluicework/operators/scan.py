@@ -140,7 +140,14 @@ def metadata_detector(rows: DataFrame) -> DataFrame:
     broken = _rows(pairs.where("error is not null"), "GGUF Structure Check", "failed", "warning", F.col("error"), "S902")
     templates = pairs.where(F.col("key").endswith("chat_template")).select("path", F.explode(C.template_findings(F.col("value"))).alias("f")).select("path", "f.*")
     found = _rows(templates, "Template Injection Check", "failed", F.col("severity"), F.concat(F.lit("Template injection ("), "kind", F.lit("): "), F.left("match", F.lit(100))), "S104")
-    return broken.unionByName(found)
+    from .sequences import offset_order
+
+    tensors = B.gguf_tensors(rows.where("format = 'gguf'"))
+    elements = F.aggregate("dims", F.lit(1).cast("long"), lambda a, d: F.try_multiply(a, d))
+    wrong = _rows(tensors.where("error is not null and name is not null"), "GGUF Tensor Check", "failed", "info", F.concat("error", F.lit(": "), "name"), "S902", F.col("idx"))
+    order = offset_order(tensors.where("error is null"), "path", "idx", K.ggml_bytes(F.col("kind"), elements))
+    order = _rows(order, "Tensor Size Consistency Check", "failed", "warning", F.concat(F.lit("Tensor offsets or sizes don't fit: "), "problem"), "S902", F.col("idx"))
+    return broken.unionByName(found).unionByName(wrong).unionByName(order)
 
 
 def graph_detector(rows: DataFrame) -> DataFrame:

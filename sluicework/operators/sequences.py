@@ -83,6 +83,14 @@ def gaps(tensors: DataFrame, key: str, begin: str, end: str) -> DataFrame:
     return tensors.select(key, F.col(begin).alias("begin"), expected.cast("long").alias("expected")).where("begin <> expected")
 
 
+def offset_order(tensors: DataFrame, key: str, order: str, size: Column) -> DataFrame:
+    """key, order, problem: tensors whose offsets fall ("order") or leave more or less room than ``size`` and the alignment ("size"). tensors: offset, data_start, alignment, length."""
+    following = F.lead("offset").over(_by(key, order))
+    end = F.coalesce(following, F.col("length") - F.col("data_start"))
+    problem = F.when(following < F.col("offset"), "order").when(F.abs(size - (end - F.col("offset"))) > F.col("alignment"), "size")
+    return tensors.withColumn("problem", problem).where("problem is not null").select(key, order, "problem")
+
+
 def throttled(events: DataFrame, key: str, at: str, interval: float) -> DataFrame:
     """key, emitted: how many events pass if each must be ``interval`` after the last that passed.
 

@@ -233,12 +233,13 @@ def tensor_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.gaps(_tensors(spark, sf_dir).groupBy("file_id", "begin_at").agg(F.max("end_at").alias("end_at")), "file_id", "begin_at", "end_at")
 
 
-@_add("""SELECT l_orderkey AS file_id, l_linenumber AS n, CASE l_linenumber % 4 WHEN 0 THEN l_quantity::BIGINT * 2 WHEN 1 THEN CASE WHEN l_quantity::BIGINT % 32 = 0 THEN l_quantity::BIGINT // 32 * 18 END
-WHEN 2 THEN NULL ELSE 256 * l_quantity::BIGINT // 256 * 210 END AS bytes FROM lineitem""")
+@_add("""SELECT l_orderkey AS file_id, l_linenumber AS n, CASE l_linenumber % 4 WHEN 0 THEN l_quantity::BIGINT * 2 WHEN 1 THEN (l_quantity::BIGINT + 31) // 32 * 18
+WHEN 2 THEN NULL ELSE 256 * l_quantity::BIGINT // 256 * 210 END AS bytes, CASE l_linenumber % 4 WHEN 1 THEN l_quantity::BIGINT % 32 = 0 WHEN 2 THEN NULL ELSE true END AS aligned FROM lineitem""")
 def ggml_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, q = F.col("l_linenumber"), F.col("l_quantity").cast("long")
     kind = F.when(n % 4 == 0, 1).when(n % 4 == 1, 2).when(n % 4 == 2, 99).otherwise(14)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), n.alias("n"), K.ggml_bytes(kind, F.when(n % 4 == 3, q * 256).otherwise(q)).alias("bytes"))
+    elements = F.when(n % 4 == 3, q * 256).otherwise(q)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), n.alias("n"), K.ggml_bytes(kind, elements).alias("bytes"), K.ggml_aligned(kind, elements).alias("aligned"))
 
 
 _TENSOR_NAMES = ["model.layers.0.weight", "../up", "a<SCRIPT", "x.eval(", "bias", "p\\u0041"]

@@ -102,48 +102,78 @@ def safetensors(files: DataFrame) -> DataFrame:
 GGUF_SCALARS = {0: "<B", 1: "<b", 2: "<H", 3: "<h", 4: "<I", 5: "<i", 6: "<f", 7: "<?", 10: "<Q", 11: "<q", 12: "<d"}
 
 
+class _Gguf:
+    """Reads a GGUF file's parts one after another."""
+
+    def __init__(self, data: bytes):
+        if data[:4] != b"GGUF":
+            raise ValueError("no GGUF file")
+        self.data, self.at = data, 24
+        _, self.tensors, self.pairs = struct.unpack_from("<IQQ", data, 4)
+
+    def number(self, form: str):
+        (out,) = struct.unpack_from(form, self.data, self.at)
+        self.at += struct.calcsize(form)
+        return out
+
+    def text(self) -> str:
+        n = self.number("<Q")
+        self.at += n
+        if self.at > len(self.data):
+            raise ValueError("string beyond the end")
+        return self.data[self.at - n : self.at].decode("utf-8", "replace")
+
+    def value(self, kind: int):
+        if kind == 8:
+            return self.text()
+        if kind == 9:
+            inner, n = self.number("<I"), self.number("<Q")
+            if n > len(self.data):
+                raise ValueError("array beyond the end")
+            return [self.value(inner) for _ in range(n)]
+        return self.number(GGUF_SCALARS[kind])
+
+    def pair(self):
+        key, kind = self.text(), self.number("<I")
+        return key, kind, self.value(kind)
+
+
 def gguf(files: DataFrame) -> DataFrame:
     """path, key, kind, value, error: the metadata of GGUF files; an array is JSON."""
 
     def parse(data: bytes):
-        if data[:4] != b"GGUF":
-            raise ValueError("no GGUF file")
-        _, tensors, pairs = struct.unpack_from("<IQQ", data, 4)
-        at = 24
-
-        def text():
-            nonlocal at
-            (n,) = struct.unpack_from("<Q", data, at)
-            at += 8 + n
-            if at > len(data):
-                raise ValueError("string beyond the end")
-            return data[at - n : at].decode("utf-8", "replace")
-
-        def value(kind: int):
-            nonlocal at
-            if kind == 8:
-                return text()
-            if kind == 9:
-                inner, n = struct.unpack_from("<IQ", data, at)
-                at += 12
-                if n > len(data):
-                    raise ValueError("array beyond the end")
-                items = [value(inner) for _ in range(n)]
-                return json.dumps(items)
-            (out,) = struct.unpack_from(GGUF_SCALARS[kind], data, at)
-            at += struct.calcsize(GGUF_SCALARS[kind])
-            return out
-
-        yield {"key": "n_tensors", "kind": -1, "value": str(tensors)}
-        for _ in range(pairs):
-            key = text()
-            (kind,) = struct.unpack_from("<I", data, at)
-            at += 4
-            yield {"key": key, "kind": kind, "value": str(value(kind))}
+        file = _Gguf(data)
+        yield {"key": "n_tensors", "kind": -1, "value": str(file.tensors)}
+        for _ in range(file.pairs):
+            key, kind, value = file.pair()
+            yield {"key": key, "kind": kind, "value": json.dumps(value) if kind == 9 else str(value)}
 
     return _rows(files, parse, "key string, kind int, value string, error string")
 
 
+def gguf_tensors(files: DataFrame) -> DataFrame:
+    """path, idx, name, dims, kind, offset, data_start, alignment, length, error: the tensors of GGUF files; offsets count from data_start."""
+
+    def parse(data: bytes):
+        file, alignment, tensors = _Gguf(data), 32, []
+        for _ in range(file.pairs):
+            key, _, value = file.pair()
+            if key == "general.alignment":
+                alignment = max(1, int(value))
+        for _ in range(file.tensors):
+            name, n = file.text(), file.number("<I")
+            if n > 64:
+                raise ValueError("too many dimensions")
+            dims = [file.number("<Q") for _ in range(n)]
+            tensors.append((name, dims, file.number("<I"), file.number("<Q")))
+        start = -(-file.at // alignment) * alignment
+        for i, (name, dims, kind, offset) in enumerate(tensors):
+            wrong = "dimension out of range" if any(d <= 0 or d > 1 << 31 for d in dims) else "data beyond the end" if start > len(data) else None
+            yield {"idx": i, "name": name, "dims": [min(d, 1 << 62) for d in dims], "kind": kind, "offset": min(offset, 1 << 62), "data_start": start, "alignment": alignment, "length": len(data), "error": wrong}
+
+    return _rows(files, parse, "idx bigint, name string, dims array<bigint>, kind int, offset bigint, data_start bigint, alignment bigint, length bigint, error string")
+
+
 def looks_like_pickle(data: bytes) -> bool:
     """Whether at least three opcodes, two of them structural, can be read among the first twenty."""
     if len(data) < 2 or (data[0] == 0x80 and data[1] not in (2, 3, 4, 5)) or (data[0] != 0x80 and data[:1] not in PICKLE_STARTS):
@@ -586,3 +616,15 @@ def lfs_pointers(files: DataFrame) -> DataFrame:
     text = F.decode(F.substring("content", 1, 200), "ISO-8859-1")
     rows = files.where(F.startswith(text, F.lit("version https://git-lfs")))
     return rows.select("path", F.regexp_extract(text, r"oid sha256:([0-9a-f]{64})", 1).alias("oid"), F.regexp_extract(text, r"size (\d+)", 1).try_cast("long").alias("size"))
+
+
+def partial(files: DataFrame, most: int) -> DataFrame:
+    """``files`` with at most ``most`` bytes of content, bytes_analyzed and analysis_complete: what a look at the beginning has seen."""
+    whole = F.col("length") <= most
+    return files.withColumns({"content": F.substring("content", 1, most), "bytes_analyzed": F.least(F.col("length"), F.lit(most).cast("long")), "analysis_complete": whole})
+
+
+def search(files: DataFrame, patterns: list[str], text: str = "content") -> DataFrame:
+    """path, pattern: byte patterns (Latin-1) that stand in files: what is left for files without a parser."""
+    data = F.decode(text, "ISO-8859-1")
+    return files.select("path", F.explode(F.array_compact(F.array(*[F.when(F.contains(data, F.lit(p)), F.lit(p)) for p in patterns]))).alias("pattern"))
