@@ -31,6 +31,10 @@ PLACEHOLDERS = ["example", "placeholder", "your_", "xxx", "****", "token_here",
 EXPLICIT_DOMAINS = [r"https?://[a-zA-Z0-9\-\.]+\.[a-zA-Z]{2,}", r"""["'](?:api|webhook|callback|endpoint)["']:\s*["'][a-zA-Z0-9\-\.]+\.[a-zA-Z]{2,}"""]
 URL = "(?i)" + T.URL.replace("#[", r"#\[")  # a bracket in a class must be escaped for Java
 UNPRINTABLE = r"[\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+#: Parts in lower case of which each match has one: a text without them needs no regular expression.
+SECRET_PARTS = [["ghp_"], ["gho_"], ["ghu_"], ["ghs_"], ["ghr_"], ["sk-"], ["akia"], ["xox"], ["bearer"], ["key", "token"]]
+LICENSE_PARTS = ["licen", "apache", "bsd", "gpl", "commons", "cc", "odbl", "pddl", "rail"]
+NETWORK_PARTS = {"url": ["://"], "socket_connection": ["socket.connect"], "http_request": ["http/1."], "network_import": ["import"]}
 KNOWN_SECRETS = ["github", "openai", "aws", "slack"]
 
 
@@ -236,8 +240,10 @@ def explicit_findings(text: Column) -> Column:
         def one(m):
             return finding("explicit_network_pattern", F.lit("CRITICAL"), F.lit(0.95), F.concat(F.lit(f"{kind} "), F.left(m["value"], F.lit(200))), _clip("Explicit network pattern in ML model: ", m["value"], 100))
 
-        return F.transform(F.filter(found(text, f"(?i){pattern}"), readable), one).cast(FINDING)
+        hits = F.transform(F.filter(found(text, f"(?i){pattern}"), readable), one).cast(FINDING)
+        return F.when(any_of(low, NETWORK_PARTS[kind]), hits).otherwise(F.expr("array()").cast(FINDING))
 
+    low = F.lower(text)
     return F.concat(*[of(*x) for x in T.EXPLICIT_NETWORK])
 
 
@@ -275,9 +281,15 @@ def secret_findings(text: Column) -> Column:
         bearer = F.contains(x["match"], F.lit("Bearer")) & F.contains(x["match"], F.lit(" "))
         return F.when(bearer, F.trim(F.regexp_extract(x["match"], r"^[^ ]* (.*)$", 1))).otherwise(x["secret"])
 
-    def of(pattern: str, kind: str) -> Column:
+    low, none = F.lower(text), F.expr("array()").cast(FINDING)
+
+    def of(pattern: str, kind: str, parts: list[str]) -> Column:
         known, group = any(k in kind.lower() for k in KNOWN_SECRETS), 1 if "([" in pattern else 0
-        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0)).alias("match"), F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(group)).alias("secret"))
+        matches = F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0))
+        if group:
+            pairs = F.arrays_zip(matches.alias("match"), F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(group)).alias("secret"))
+        else:
+            pairs = F.transform(matches, lambda m: F.struct(m.alias("match"), m.alias("secret")))
 
         def kept(x):
             real = ~any_of(F.lower(x["match"]), PLACEHOLDERS)
@@ -286,16 +298,22 @@ def secret_findings(text: Column) -> Column:
         def one(x):
             return finding("exposed_secret", F.lit("INFO"), F.lit(1.0), F.lit(kind), F.lit(f"Potential exposed secret in text metadata: {kind}"), F.length(secret(x)))
 
-        return F.transform(F.filter(pairs, kept), one).cast(FINDING)
+        return F.when(any_of(low, parts), F.transform(F.filter(pairs, kept), one).cast(FINDING)).otherwise(none)
 
-    return F.concat(*[of(*x) for x in T.SECRETS])
+    return F.concat(*[of(*x, parts) for x, parts in zip(T.SECRETS, SECRET_PARTS, strict=True)])
 
 
 def license_array(text: Column, lines: int = 50) -> Column:
     """spdx_id, name, commercial_allowed of each licence that the first lines name."""
     head = F.array_join(F.slice(F.split(text, "\n"), 1, lines), "\n")
-    hit = [F.when(head.rlike(f"(?im){p}"), F.struct(F.lit(k).alias("spdx_id"), F.lit(n).alias("name"), F.lit(free).alias("commercial_allowed"))) for p, k, n, free in T.LICENSES]
-    return F.array_compact(F.array(*hit))
+
+    def of(h: Column) -> Column:
+        hit = [F.when(h.rlike(f"(?im){p}"), F.struct(F.lit(k).alias("spdx_id"), F.lit(n).alias("name"), F.lit(free).alias("commercial_allowed"))) for p, k, n, free in T.LICENSES]
+        return F.array_compact(F.array(*hit))
+
+    one = F.get(F.transform(F.array(head), of), F.lit(0))  # the head is worked out once for all patterns
+    none = F.expr("cast(array() as array<struct<spdx_id:string,name:string,commercial_allowed:boolean>>)")
+    return F.when(any_of(F.lower(text), LICENSE_PARTS), one).otherwise(none)
 
 
 def licenses(rows: DataFrame, text: str, *keep: str, lines: int = 50) -> DataFrame:
