@@ -43,14 +43,14 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import semi_join, spread_join, stored, table, text_key
-from .textvec import EXACT, Runs, Texts, U, blocks, mix
+from .textvec import EXACT, Runs, Texts, U, blocks, mix, release, slices
 
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 ROWS = 5
 BLOCK = 256
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _COLUMNS = 8192
 
 
@@ -121,21 +121,31 @@ def _first_shared(bands: np.ndarray, bucket: int) -> np.ndarray:
     return ~open_ & (first == bucket)
 
 
+def _shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """document, hash: of every distinct shingle, in order. The texts are hashed in blocks, since that takes many times their bytes."""
+    docs, values, first = [], [], 0
+    for block in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), BLOCK_BYTES):
+        doc, value = shingles(Texts(block.column(0)), words)
+        order = np.lexsort((value, doc))
+        doc, value = doc[order], value[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1]))[: len(doc)]
+        docs.append(doc[new] + first)
+        values.append(value[new])
+        first += block.num_rows
+    return np.concatenate(docs), np.concatenate(values)
+
+
 def verify(texts: pa.Array, node: np.ndarray, copies: np.ndarray, side: np.ndarray, bands: np.ndarray | None, bucket: int, words: int, similarity: float):
     """Links of one block, or between two: for each node the linked documents, and the least node that its links here reach.
 
     With ``bands`` (the buckets of each text) only pairs whose first shared bucket is ``bucket`` count.
     """
-    t = Texts(texts)
-    doc, value = shingles(t, words)
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1]))
-    doc, value = doc[new], value[new]
-    size = np.bincount(doc, minlength=t.n)
-    both = _intersections(doc, value, t.n)
+    n = len(texts)
+    doc, value = _shingle_sets(texts, words)
+    size = np.bincount(doc, minlength=n)
+    both = _intersections(doc, value, n)
     link = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
-    link &= (side[:, None] != side[None, :]) if (side != side[0]).any() else ~np.eye(t.n, dtype=bool)
+    link &= (side[:, None] != side[None, :]) if (side != side[0]).any() else ~np.eye(n, dtype=bool)
     link &= both > 0
     if bands is not None:
         link &= _first_shared(bands, bucket)
@@ -205,6 +215,7 @@ def links(found: DataFrame, keyed: DataFrame, words: int, similarity: float) ->
 
     def run(batches):
         rest = None
+        release()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -213,6 +224,8 @@ def links(found: DataFrame, keyed: DataFrame, words: int, similarity: float) ->
             yield from (_verified(g, words, similarity) for g in full)
         if rest is not None:
             yield _verified(rest, words, similarity)
+        batch = whole = full = rest = None
+        release()
 
     return spread.mapInArrow(run, "u long, v long, links long")
 

@@ -67,7 +67,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         full = {1 << b: max(1, batch_tokens >> b) for b in range(longest.bit_length())}
         base = {size: task | (size.bit_length() - 1) << 32 for size in full}
         seen = dict.fromkeys(full, 0)
-        for block in blocks(batches, BLOCK_BYTES):
+        for block in blocks(batches, BLOCK_BYTES, keep="word_ids"):
             of, start, length, ids, crc, total, batch = [], [], [], [], [], [], []
             for i, value in enumerate(block.column(0)):
                 data = memoryview(encoder.ids(value.as_py()) + end)

@@ -39,7 +39,7 @@ LINE_LIMIT = 20  # a line that more distinct documents of one host hold is boile
 MIN_KEPT_SHARE = 0.2  # a document that lost lines is depleted if less than this share of its words is left
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -194,7 +194,7 @@ def quality_filter(docs: DataFrame, host: str = "source", text: str = "text", le
     out = rows.join(changed, match, "left").where(F.coalesce("stays", F.lit(True))).select(*names, F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
     def run(batches):
-        for batch in batches:
+        for batch in blocks(batches, BLOCK_BYTES, own[text]):
             place = batch.schema.get_field_index(own[text])
             many = np.asarray(pc.list_value_length(batch.column(len(names))))
             columns = batch.columns[: len(names)]

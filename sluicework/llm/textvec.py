@@ -7,6 +7,9 @@ Words are ``[^\\x20\\x09-\\x0D]+``; a null text has no words.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -59,7 +62,8 @@ class Runs:
     def __init__(self, values: np.ndarray, step: int = STEP):
         n = len(values)
         self.sums = np.zeros(n + 1, U)
-        np.cumsum(values * powers(step, n), out=self.sums[1:])
+        np.multiply(values, powers(step, n), out=self.sums[1:])
+        np.cumsum(self.sums[1:], out=self.sums[1:])
         self.back = powers(pow(step, -1, 2**64), n + 1)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -136,16 +140,50 @@ class Texts:
         return np.flatnonzero(self.doc[: n - width + 1] == self.doc[width - 1 :])
 
 
-def blocks(batches, limit: int, text: str = "text"):
-    """The rows of Arrow batches in blocks of about ``limit`` bytes of text; a longer text stands alone."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        total, begin = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)), 0
-        while begin < batch.num_rows:
-            before = total[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(total, before + limit, "right")))
-            yield batch.slice(begin, end - begin)
-            begin = end
+def _trim():
+    """glibc's malloc_trim, where it is there."""
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+    trim.argtypes, trim.restype = [ctypes.c_size_t], ctypes.c_int
+    return trim
+
+
+_malloc_trim = _trim()
+
+
+#: What a worker keeps from task to task, by name: how to drop it.
+CACHES: dict[str, Callable[[], None]] = {}
+
 
+def release(keep: str | None = None) -> None:
+    """Gives freed memory back to the system, and first drops all CACHES but ``keep``.
+
+    A Python worker lives on for tasks of other operators, which would stand beside all that the largest task before them took.
+    """
+    for name, drop in CACHES.items():
+        if name != keep:
+            drop()
+    pa.default_memory_pool().release_unused()
+    _malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, limit: int, text: str = "text"):
+    """The rows of a batch in blocks of about ``limit`` bytes of text; a longer text stands alone."""
+    column = batch.column(batch.schema.get_field_index(text))
+    total, begin = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)), 0
+    while begin < batch.num_rows:
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + limit, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def blocks(batches, limit: int, text: str = "text", keep: str | None = None):
+    """The ``slices`` of all batches, with a ``release`` before the first and after the last."""
+    release(keep)
+    for batch in batches:
+        yield from slices(batch, limit, text)
+    batch = None
+    release(keep)

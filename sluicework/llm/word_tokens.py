@@ -18,6 +18,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from .textvec import CACHES
+
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LAST = 0x24F
 
@@ -126,5 +128,8 @@ class Generations:
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """One for each Python worker."""
+    """One for each Python worker, until it gets a task of another operator."""
     return WordIds(path)
+
+
+CACHES["word_ids"] = word_ids.cache_clear

@@ -184,6 +184,31 @@ def test_ngram_join(docs, nothing):
     assert ngram_join.jaccard_classes(nothing).count() == 0 and ngram_join.keep_one(nothing).count() == 0
 
 
+def test_verification_and_idle_workers_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sluicework.llm.ngram_join import verify
+    from sluicework.llm.packing import TOKENIZER
+    from sluicework.llm.textvec import release
+    from sluicework.llm.word_tokens import word_ids
+
+    n, size = 160, 3000
+    texts = pa.array([" ".join(f"word{(i // 2 * 977 + k) % 4096}" for k in range(size)) + (" end" if i % 2 else "") for i in range(n)])
+    tracemalloc.start()
+    links, root = verify(texts, np.arange(n), np.ones(n, np.int64), np.zeros(n, np.int64), None, 0, 5, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(root.tolist()) == {0} and links.min() == 21
+    assert peak < 20 * texts.nbytes
+    held = word_ids(public_tokenizers.path(TOKENIZER))
+    release("word_ids")
+    assert word_ids(public_tokenizers.path(TOKENIZER)) is held
+    release()  # the next task is another operator's
+    assert word_ids(public_tokenizers.path(TOKENIZER)) is not held
+
+
 def test_large_near_group_spans_blocks(spark):
     base = [f"b{i}" for i in range(300)]
     rows = []
