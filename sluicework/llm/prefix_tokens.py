@@ -10,7 +10,8 @@ that the file's merges leave as it is. So
 gives the exact count of every prefix in one pass, without encoding again.
 Whether a pair is valid is asked of the library's merges once a pair. Words
 repeat, so the counts of a string are kept and the counts of a text are sums of
-those of its strings.
+those of its strings. ``budgets`` needs the total of each pre-token alone, but
+around the place where the budget ends, where all counts are looked at.
 
 A prefix that ends inside a run of white space, a contraction or a special
 token is split otherwise than the whole text is; those places are corrected, so
@@ -29,8 +30,9 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from bisect import bisect_left
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,7 @@ _PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+
 _CROSSING = re.compile(r"\s ")
 _PAIRS = 800_000
 _STRING_BYTES = 80 << 20
+_TOTAL_BYTES = 120 << 20
 
 
 def _space(sign: str) -> bool:
@@ -75,6 +78,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocabulary))
         self.pairs: dict[int, bool] = {}
         self.pieces, self.strings = Generations(_STRING_BYTES), Generations(_STRING_BYTES)
+        self.totals = Generations(_TOTAL_BYTES)
         self.state: tuple[bytes, list[int], list[int], list[int]] = (b"", [-1], [0], [0])
 
     def _valid(self, left: int, right: int) -> bool:
@@ -88,13 +92,12 @@ class PrefixCounter:
             known = self.pairs[key] = [x.id for x in self.model.tokenize("".join(self.letters[x] for x in whole))] == whole
         return known
 
-    def _piece(self, piece: str) -> bytes:
-        """The dynamic program over one pre-token; counts at the ends of its characters.
+    def _bytes(self, data: bytes) -> list[int]:
+        """The dynamic program over one pre-token: 0, then the counts at the ends of its bytes.
 
         What the piece before shares with this one from the start is not done again.
         """
-        data = piece.encode()
-        vocabulary, pairs, longest = self.vocabulary, self.pairs, self.longest
+        token_of, known, longest = self.vocabulary.get, self.pairs.get, self.longest
         before, last, count, begin = self.state
         shared, most = 0, min(len(before), len(data))
         while shared < most and before[shared] == data[shared]:
@@ -102,24 +105,42 @@ class PrefixCounter:
         del last[shared + 1 :], count[shared + 1 :], begin[shared + 1 :]
         for end in range(shared + 1, len(data) + 1):
             # one token alone is right, so the likely places are looked at first: the last token one byte longer, then the shortest
-            likely = begin[end - 1]
-            for start in chain((likely,), range(end - 1, likely, -1), range(likely - 1, max(0, end - longest) - 1, -1)):
-                token = vocabulary.get(data[start:end])
+            likely = start = begin[end - 1]
+            token = token_of(data[start:end])
+            if token is not None:
+                left = last[start]
+                valid = known(left << 32 | token)
+                if valid if valid is not None else self._valid(left, token):
+                    last.append(token)
+                    count.append(count[start] + 1)
+                    begin.append(start)
+                    continue
+            for start in chain(range(end - 1, likely, -1), range(likely - 1, max(0, end - longest) - 1, -1)):
+                token = token_of(data[start:end])
                 if token is None:
                     continue
                 left = last[start]
-                valid = pairs.get(left << 32 | token)
+                valid = known(left << 32 | token)
                 if valid if valid is not None else self._valid(left, token):
                     last.append(token)
                     count.append(count[start] + 1)
                     begin.append(start)
                     break
         self.state = data, last, count, begin
+        return count
+
+    def _piece(self, piece: str) -> bytes:
+        """The counts at the ends of the characters of one pre-token."""
+        data = piece.encode()
+        count = self._bytes(data)
         if len(data) == len(piece):
             return array("i", count[1:]).tobytes()
         ends = [i for i in range(1, len(data)) if data[i] & 0xC0 != 0x80]
         return array("i", [count[i] for i in (*ends, len(data))]).tobytes()
 
+    def _total(self, piece: str) -> int:
+        return self._bytes(piece.encode())[-1]
+
     def learn(self, texts: list[str]) -> None:
         """Works out what is new in ordinary texts, its pieces in sorted order, in which neighbours share most."""
         strings, pieces = self.strings, self.pieces
@@ -151,7 +172,9 @@ class PrefixCounter:
         return out
 
     def _general(self, text: str) -> np.ndarray:
-        pieces = self._split(text)
+        return self._counts_of(self._split(text))
+
+    def _counts_of(self, pieces: list[str]) -> np.ndarray:
         out = self._joined(self.pieces.all(pieces, self._piece))
         at, before = 0, 0
         for i, piece in enumerate(pieces):
@@ -202,6 +225,39 @@ class PrefixCounter:
         out.append(self._ordinary(text[at:]) + np.int32(base))
         return np.concatenate(out)
 
+    def budgets(self, texts: list[str], budget: int) -> tuple[list[int], list[int]]:
+        """The number of tokens of each text, and of how many characters its longest prefix of at most ``budget`` tokens is."""
+        n, fits = [], []
+        split = [None if self.special and self.special.search(x) else self._split(x) for x in texts]
+        unknown = set().union(*filter(None, split)).difference(self.totals.new)
+        self.totals.all(sorted(unknown), self._total)  # neighbours in sorted order share most
+        for text, pieces in zip(texts, split, strict=True):
+            if pieces is None:
+                counts = self.counts(text)
+                n.append(int(counts[-1]))
+                fits.append(self._within(counts, budget))
+                continue
+            totals = self.totals.all(pieces, self._total)
+            n.append(sum(totals))
+            fits.append(len(text) if n[-1] <= budget else self._fits(pieces, totals, budget))
+        return n, fits
+
+    @staticmethod
+    def _within(counts: np.ndarray, budget: int) -> int:
+        found = np.flatnonzero(counts <= budget)
+        return int(found[-1]) + 1 if len(found) else 0
+
+    def _fits(self, pieces: list[str], totals: list[int], budget: int) -> int:
+        """The longest prefix within the budget of a text that is not. It ends in the last piece that begins below the budget,
+        or at the first character of the next, where a run of white space may count less than its pieces do."""
+        ends = list(accumulate(totals[: max(budget, 0) + 1]))  # a piece has one token at least
+        last = bisect_left(ends, budget)
+        first = max(0, last - 2)
+        found = self._within(self._counts_of(pieces[first : last + 2]), budget - (ends[first - 1] if first else 0))
+        if first and found <= len(pieces[first]):
+            return self._within(self._counts_of(pieces), budget)
+        return sum(map(len, pieces[:first])) + found
+
 
 @lru_cache(maxsize=2)
 def prefix_counter(path: str) -> PrefixCounter:
@@ -210,7 +266,7 @@ def prefix_counter(path: str) -> PrefixCounter:
 
 
 def _mapped(docs: DataFrame, path: str, keep: list[str], text: str, schema: str, answer) -> DataFrame:
-    """The columns ``keep`` with those of ``schema``, which ``answer`` makes of the counts of a block's texts."""
+    """The columns ``keep`` with those of ``schema``, which ``answer`` makes of the counter and a block's texts."""
     outputs = [x.split()[0] for x in schema.split(", ")]
     names = [f"c{i}" for i in range(len(keep))]
 
@@ -218,8 +274,7 @@ def _mapped(docs: DataFrame, path: str, keep: list[str], text: str, schema: str,
         counter = prefix_counter(path)
         for block in blocks(batches, BLOCK_BYTES):
             texts = [x or "" for x in block.column(0).to_pylist()]
-            counter.learn(texts)
-            yield pa.RecordBatch.from_arrays([*block.columns[1:], *answer(counter.counts(x) for x in texts)], names=[*names, *outputs])
+            yield pa.RecordBatch.from_arrays([*block.columns[1:], *answer(counter, texts)], names=[*names, *outputs])
 
     renamed = docs.select(F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     own = ", ".join(f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names)
@@ -229,8 +284,9 @@ def _mapped(docs: DataFrame, path: str, keep: list[str], text: str, schema: str,
 def prefix_counts(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` with prefix_counts: array<int>, entry k the tokens of the first k characters."""
 
-    def whole(counts):
-        counts = list(counts)
+    def whole(counter, texts):
+        counter.learn(texts)
+        counts = [counter.counts(x) for x in texts]
         at = np.concatenate(([0], np.cumsum([len(c) for c in counts]))).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(counts)))]
 
@@ -243,13 +299,8 @@ def budgets(docs: DataFrame, path: str, keep: list[str], budget: int, text: str
     The questions are asked where the counts are made, so these don't leave the task.
     """
 
-    def asked(counts):
-        n, fits = [], []
-        for c in counts:
-            n.append(int(c[-1]) if len(c) else 0)
-            within = np.flatnonzero(c <= budget) if len(c) and c.max() > budget else None
-            fits.append(len(c) if within is None else int(within[-1]) + 1 if len(within) else 0)
-        return [pa.array(n, pa.int64()), pa.array(fits, pa.int64())]
+    def asked(counter, texts):
+        return [pa.array(x, pa.int64()) for x in counter.budgets(texts, budget)]
 
     return _mapped(docs, path, keep, text, "n_tokens long, fits long", asked)
 

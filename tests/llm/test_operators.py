@@ -378,6 +378,27 @@ def test_prefix_counts(docs, nothing):
     assert prefix_tokens.prefix_counts(nothing, path, ["doc_id"]).count() == 0
 
 
+def test_budgets_by_brute_force():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine, library, random = prefix_tokens.PrefixCounter(path), Tokenizer.from_file(path), np.random.default_rng(7)
+    texts = ["".join(random.choice([*STRANGE, "\n", "\n\n", "'re", "<|endoftext|>"], random.integers(0, 14))) for _ in range(400)]
+    counts = [[len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)] for t in texts]
+    for budget in (-1, 0, 1, 4, 9):
+        n, fits = mine.budgets(texts, budget)
+        assert n == [c[-1] for c in counts]
+        assert fits == [max((k for k, x in enumerate(c) if x <= budget), default=0) for c in counts]
+
+
+def test_budgets_work_once_a_pre_token(monkeypatch):
+    mine, done = prefix_tokens.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json")), []
+    monkeypatch.setattr(mine, "_total", lambda piece, work=mine._total: done.append(piece) or work(piece))
+    names = [f"{a}{b}na" for a in "bcdfg" for b in "aeiou"]
+    texts = [f"{x}.\n{y}, {x}" for x in names for y in names]  # 625 strings of 25 words
+    assert mine.budgets(texts, 512)[1] == list(map(len, texts))
+    assert len(done) == len(set(done)) == 2 * len(names) + 3  # words with and without a space, ".", "\n" and ","
+    assert not mine.strings.new and not mine.pieces.new
+
+
 def test_language_id(spark, nothing):
     speech = {"en": "the and of to in is that it was for on are with as his they at", "de": "der die und das nicht ein eine ist mit von sich auf für den dem zu", "fr": "le la les des est une que dans qui sur pas pour avec ce il au"}
     random = np.random.default_rng(1)
