@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -71,25 +72,22 @@ class WordIds:
             and all(x.startswith("<|") for x in self.added)
             and spec["model"]["type"] == "BPE"
         )
-        self.strings, self.words = Generations(), Generations()
+        self.words = Generations(2 * MEMORY_BYTES)
 
     def library(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(_LETTER)
-        return b"".join([x.id.to_bytes(4, "little") for x in self.whole.model.tokenize(letters)])
-
-    def _string(self, string: str) -> bytes:
-        """A run of signs without white space."""
-        return b"".join(self.words.all(_WORD.findall(string.lower()), self._word))
+        ids = [x.id for x in self.whole.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_word or _ODD.search(text):
             return self.library(text)
-        return b"".join(self.strings.all(text.split(), self._string))
+        return b"".join(self.words.all(_WORD.findall(text.lower()), self._word))
 
 
 class Generations:
@@ -113,16 +111,15 @@ class Generations:
         out = list(map(self.new.get, keys))
         if None not in out:
             return out
-        for i, value in enumerate(out):
+        for i in [i for i, value in enumerate(out) if value is None]:
+            key = keys[i]
+            value = self.new.get(key)
             if value is None:
-                key = keys[i]
-                value = self.new.get(key)
+                value = self.old.get(key)
                 if value is None:
-                    value = self.old.get(key)
-                    if value is None:
-                        value = work(key)
-                    self.put(key, value)
-                out[i] = value
+                    value = work(key)
+                self.put(key, value)
+            out[i] = value
         return out
 
 

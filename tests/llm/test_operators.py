@@ -357,6 +357,19 @@ def test_word_ids_are_the_library_s():
         assert np.frombuffer(mine.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_word_ids_look_up_words_alone(monkeypatch):
+    from sluicework.llm.word_tokens import Generations, WordIds
+
+    path, asked = public_tokenizers.path("word_bpe_49k.json"), []
+    mine, library = WordIds(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(Generations, "all", lambda self, keys, work, real=Generations.all: asked.append(len(keys)) or real(self, keys, work))
+    names = [f"{a}{b}na" for a in "bcdfg" for b in "aeiou"]
+    texts = [f"{x.title()}.{y}; it's {y}-{x}\xa0{x}'ll\n" for x in names for y in names]  # many strings of few words
+    for text in texts:
+        assert np.frombuffer(mine.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert asked == [11] * len(texts) and len(mine.words.new) == len(names) + 6
+
+
 def test_prefix_counts(docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     mine, library, random = prefix_tokens.PrefixCounter(path), Tokenizer.from_file(path), np.random.default_rng(6)
